@@ -245,15 +245,15 @@ def most_similar(
     units = F.broadcast(load)  # at most MAX_CLUSTERS rows
     part = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
     base = index.join(units, F.col("home") == F.col("unit")).select(F.col("unit").alias("cluster"), part("pb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("pq") - 1)).alias("q"), "rep", "key", "code", "norm", "own")
-    query = asked.join(units, F.col("cluster") == F.col("unit")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("b"), part("pq").alias("q"), "rep", "key")
+    query = asked.join(units, F.col("cluster") == F.col("unit")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("b"), part("pq").alias("q"), F.col("rep").alias("asker"), F.col("key").alias("asks"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            vec = lambda t: np.frombuffer(b"".join(t.column("key").to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
+            vec = lambda col: np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
             c = sent.value
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            b = {"id": left.column("rep").to_numpy(), "x": vec(left), "code": code, "norm": left.column("norm").to_numpy(), "own": left.column("own").to_numpy()}
-            q = {"id": right.column("rep").to_numpy(), "x": vec(right)}
+            b = {"id": left.column("rep").to_numpy(), "x": vec(left.column("key")), "code": code, "norm": left.column("norm").to_numpy(), "own": left.column("own").to_numpy()}
+            q = {"id": right.column("asker").to_numpy(), "x": vec(right.column("asks"))}
             a = search_block(c, left.column("cluster")[0].as_py(), k, floor, b, q)
         else:
             a = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]

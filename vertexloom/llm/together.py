@@ -97,8 +97,8 @@ def _ordinary(batches):
 
 def _blocks(left: pa.Table, right: pa.Table) -> pa.Table:
     """Two chunks of one huge basket: their product, or the pairs inside if it is one chunk twice."""
-    x = left.column("item").to_numpy()
-    y = right.column("item").to_numpy()
+    x = left.column("left").to_numpy()
+    y = right.column("right").to_numpy()
     if len(x) == 0 or len(y) == 0:
         a = b = np.zeros(0, np.int64)
     elif left.column("i")[0].as_py() == left.column("j")[0].as_py():
@@ -133,10 +133,10 @@ def pair_counts(held: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
     if n_huge:
         # The chunk of an item is the hash of basket and item, so no task needs the whole basket.
         big = marked.where("n_chunks IS NOT NULL").withColumn("k", F.pmod(F.xxhash64("basket", "item"), F.col("n_chunks")).cast("int"))
-        as_left = big.withColumn("j", F.explode(F.sequence(F.col("k"), F.col("n_chunks") - 1))).select("basket", F.col("k").alias("i"), "j", "item")
-        as_right = big.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).select("basket", "i", F.col("k").alias("j"), "item")
+        as_left = big.withColumn("j", F.explode(F.sequence(F.col("k"), F.col("n_chunks") - 1))).select(F.col("basket").alias("of"), F.col("k").alias("i"), "j", F.col("item").alias("left"))
+        as_right = big.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).select("basket", "i", F.col("k").alias("j"), F.col("item").alias("right"))
         keys = ["basket", "i", "j"]
-        counted = counted.unionByName(as_left.groupBy(*keys).cogroup(as_right.groupBy(*keys)).applyInArrow(_blocks, _SCHEMA))
+        counted = counted.unionByName(as_left.groupBy("of", "i", "j").cogroup(as_right.groupBy(*keys)).applyInArrow(_blocks, _SCHEMA))
     return counted.groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 
 
