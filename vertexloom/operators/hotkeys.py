@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.session import ship
+
 #: Keys of one accumulator block (arrays of 512 KB).
 BLOCK = 65_536
 #: Array items a split may hold (128 MB). A larger domain is encoded by dictionary, as the keys of a split
@@ -79,6 +81,7 @@ def dense_key_aggregate(df: DataFrame, key: str, value: str | None = None, domai
     whatever the keys.
     """
     spark = df.sparkSession
+    ship(spark)
     valued = value is not None
     src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), *([F.col(value).cast("bigint").alias("x")] if valued else []))
     reducers = reducers or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,19 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver found it; once an application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vertexloom_shipped", False):
+        return
+    here = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="vertexloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/vertexloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(path)
+    sc._vertexloom_shipped = True

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from vertexloom.graph import Graph
 from vertexloom.operators.degree import out_degree
 from vertexloom.operators.index import csc_offsets
-from vertexloom.session import cut
+from vertexloom.session import cut, ship
 
 HEADER = 12
 #: Edges of one input partition, and of one Arrow batch.
@@ -126,6 +126,7 @@ class CscSource(DataSource):
 
 def read_csc(spark: SparkSession, path: str, weighted: bool = False, edges_per_partition: int = EDGES_PER_PARTITION, check: bool = True) -> Graph:
     """The graph in ``path``; ``check`` also tests that the sources are vertices (one scan)."""
+    ship(spark)
     spark.dataSource.register(CscSource)
     nv, _ = read_header(path, weighted)
     edges = spark.read.format("csc").option("weighted", str(weighted).lower()).option("edgesPerPartition", edges_per_partition).load(local_path(path))
@@ -171,6 +172,7 @@ def write_csc(g: Graph, path: str, degree_trailer: bool = False) -> None:
     path = local_path(path)
     if g.nv >= 2**32:
         raise ValueError("the format holds at most 2**32 - 1 vertices")
+    ship(g.spark)
     edges = cut(g.edges.orderBy("dst", "src", *(["weight"] if g.weighted else [])))
     ne = edges.count()
     width = 8 if g.weighted else 4
