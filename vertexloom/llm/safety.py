@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm import lexicon
+from vertexloom.session import ship
 
 #: Stands for a masked middle ("m***n") in folded text.
 MASK = "\x01"
@@ -212,6 +213,7 @@ def score_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     clash = set(keep) & {"score", "strength", "n_hits", "categories"}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are results")
+    ship(docs.sparkSession)
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut
+from vertexloom.session import cut, ship
 
 #: Vectors the clusters are fitted on, at most (a documented sample; every vector is indexed), and clusters at most.
 SAMPLE = 65_536
@@ -189,6 +189,7 @@ def most_similar(
     or a set of queries that is too large for one unit is split, so memory is bounded whatever the skew.
     """
     spark = df.sparkSession
+    ship(spark)
     src = df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v", dims))
 
     def pack(batches):

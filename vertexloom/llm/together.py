@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut
+from vertexloom.session import cut, ship
 
 #: Items of a chunk; a basket with more distinct items than this is huge.
 CHUNK = 1_000
@@ -118,6 +118,7 @@ def baskets(rows: DataFrame, basket: str, item: str) -> DataFrame:
 def pair_counts(held: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``item_a, item_b, n`` (item_a < item_b) over distinct (basket, item) rows: baskets with both."""
     spark = held.sparkSession
+    ship(spark)
     share = F.pmod(F.xxhash64("item"), F.lit(SHARES))
     parts = held.groupBy("basket", share.alias("share")).agg(F.count("*").alias("_n"))
     huge = cut(parts.groupBy("basket").agg(F.sum("_n").alias("size")).where(F.col("size") > chunk).select("basket", F.ceil(F.col("size") / chunk).cast("int").alias("n_chunks")))

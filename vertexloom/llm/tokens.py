@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut
+from vertexloom.session import cut, ship
 
 #: Default vocabulary: ranks of byte_bpe_50k. The path is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,6 +40,7 @@ class Vocabulary:
     """Ranks read once on the driver (half a megabyte, fixed) and sent to the workers."""
 
     def __init__(self, spark: SparkSession, path: str = VOCABULARY):
+        ship(spark)
         with open(path, "rb") as f:
             self._data = spark.sparkContext.broadcast(f.read())
 

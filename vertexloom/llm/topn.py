@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.operators.skew import hot_keys, salted
-from vertexloom.session import cut, remove, scratch
+from vertexloom.session import cut, remove, scratch, ship
 
 #: Rows of one file, and the rows from which a group is spread over several.
 ROWS_PER_FILE = 1_000_000
@@ -94,6 +94,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, rows_per
     if n < 1:
         raise ValueError("n must be positive")
     spark = df.sparkSession
+    ship(spark)
     kind = dict(df.dtypes)[score]
     wide = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double"
     src = df.select(F.col(group).cast("bigint").alias("g"), F.col(item).cast("bigint").alias("i"), F.col(score).cast(wide).alias("s"))
