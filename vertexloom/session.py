@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,9 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder and forget the lineage.
+
+    A checkpointed frame still carries the constraints its plan had, and over many rounds of a loop their
+    inference costs more than the work; so the frame is made anew from the checkpointed rows.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    try:
+        rows = kept._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    except (AttributeError, TypeError, Py4JError):
+        return kept
 
 
 def scratch(spark: SparkSession, name: str) -> str:
