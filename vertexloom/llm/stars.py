@@ -12,15 +12,12 @@ from vertexloom.session import cut
 MAX_ROUNDS = 200
 
 
-def _to_center(links: DataFrame, centers: DataFrame, rows_per_task: int) -> DataFrame:
-    """``links`` (u, v) joined with the ``c`` of their u; a record with very many links is split by salts.
-
-    At most links / rows_per_task records can be that large, so their table may be broadcast.
-    """
-    hot = centers.where(F.col("n") > rows_per_task).select("u", F.ceil(F.col("n") / rows_per_task).cast("int").alias("n_salts"))
-    left = salted(links, "u", "v", hot)
-    right = replicated(centers.select("u", "c", "up", "down"), "u", hot, "u")
-    return left.join(right, ["u", "_salt"]).drop("_salt")
+def _to_center(links: DataFrame, centers: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``links`` (u, v) joined with the ``c`` of their u; the links of a ``hot`` record are split by salts."""
+    right = centers.select("u", "c")
+    if hot is None:
+        return links.join(right, "u")
+    return salted(links, "u", "v", hot).join(replicated(right, "u", hot, "u"), ["u", "_salt"]).drop("_salt")
 
 
 def connect(pairs: DataFrame, src: str = "src", dst: str = "dst", label: str = "min", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -48,13 +45,16 @@ def connect(pairs: DataFrame, src: str = "src", dst: str = "dst", label: str = "
                 F.least("u", F.min("v")).alias("c"), F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("down"), F.count_if(F.col("v") > F.col("u")).alias("up")
             )
         )
-        if not centers.where("down > 1 OR (down > 0 AND up > 0)").limit(1).count():
+        unfinished, most = centers.agg(F.count_if(F.expr("down > 1 OR (down > 0 AND up > 0)")), F.max("n")).first()
+        if not unfinished:
             break
-        # Large-star: only links to larger neighbours are rewritten; where u already is the centre they stay.
-        large = _to_center(both.where("v > u"), centers, rows_per_task).select(F.col("v").alias("u"), F.col("c").alias("v")).distinct()
-        large = cut(large)
-        small = large.groupBy("u").agg(F.min("v").alias("c"), F.count("*").alias("n"), F.lit(0).alias("up"), F.lit(0).alias("down"))
-        moved = _to_center(large, small, rows_per_task).select(F.col("v").alias("u"), F.col("c").alias("v")).where("u <> v")
+        # At most links / rows_per_task records can be hot, so their table may be broadcast. After large-star
+        # a record has no more smaller neighbours than before, so the same table serves both steps.
+        hot = centers.where(F.col("n") > rows_per_task).select("u", F.ceil(F.col("n") / rows_per_task).cast("int").alias("n_salts")) if most > rows_per_task else None
+        # Large-star: links to larger neighbours go to the least neighbour, which may be the record itself.
+        large = _to_center(both.where("v > u"), centers, hot).select(F.col("v").alias("u"), F.col("c").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("c"))
+        moved = _to_center(large, small, hot).select(F.col("v").alias("u"), F.col("c").alias("v")).where("u <> v")
         edges = cut(moved.unionByName(small.select("u", F.col("c").alias("v"))).distinct())
     else:
         raise RuntimeError(f"not connected after {MAX_ROUNDS} rounds")
