@@ -13,16 +13,17 @@ class EdgeIndex:
     """Edges prepared once for many joins with a vertex state of one row per id.
 
     While the state has at most ``broadcast_rows`` rows (nv is known exactly) it is broadcast and the
-    edges stay where the scan put them, so a hot vertex costs nothing. Beyond, the edges are hash
+    edges stay where the scan put them, so a hot vertex costs nothing; with ``keep`` they are cached in
+    columns for the rounds of a loop (a lost part is computed again). Beyond, the edges are hash
     partitioned once by (src, salt) and kept; each round shuffles only the state. Sources with more
     than ``rows_per_task`` edges get as many salts as they need, and only their state rows are repeated.
     """
 
-    def __init__(self, g: Graph, broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int = ROWS_PER_TASK):
-        self.g, self.broadcast_rows = g, broadcast_rows
+    def __init__(self, g: Graph, broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int = ROWS_PER_TASK, keep: bool = False):
+        self.g, self.keep = g, keep
         self.small = g.nv <= broadcast_rows
         if self.small:
-            self.edges, self.hot, self.hot_dst = g.edges, None, None
+            self.edges, self.hot, self.hot_dst = g.edges.persist() if keep else g.edges, None, None
         else:
             self.hot = hot_keys(g.edges, "src", rows_per_task).persist()
             self.hot_dst = hot_keys(g.edges, "dst", rows_per_task).persist()
@@ -52,7 +53,7 @@ class EdgeIndex:
 
     def release(self) -> None:
         for x in (self.edges, self.hot, self.hot_dst):
-            if x is not None and not self.small:
+            if x is not None and (self.keep or not self.small):
                 x.unpersist()
 
 

@@ -26,24 +26,26 @@ class Trace:
         return spark.createDataFrame(self.rows, "iter int, active bigint, mode string, seconds double")
 
 
-def pull_iterate(g: Graph, state: DataFrame, message: Column, how: str, apply: dict[str, Column], n: int, every: int = 5) -> DataFrame:
+def pull_iterate(g: Graph, state: DataFrame, message: Column, how: str, apply: dict[str, Column], n: int, every: int = 1) -> DataFrame:
     """``n`` synchronous pull steps.
 
     ``state`` has id and value columns of fixed width; ``message`` is an expression over the source's
     columns (and weight), combined by ``how`` (sum, min, max) per target as ``msg`` (null where no
     in-edge); ``apply`` gives the new columns from the old ones and msg; columns not named stay.
-    The lineage is cut each ``every`` steps. Everything compiles through Catalyst.
+    The lineage is cut each ``every`` steps and at the end (one step alone stays lazy); planning a chain of
+    uncut steps costs more than writing the state. Everything compiles through Catalyst.
     """
     if n < 1:
         raise ValueError("the number of iterations must be positive")
     cols = [c for c in state.columns if c != "id"]
-    index = EdgeIndex(g)
+    index = EdgeIndex(g, keep=n > 1)
     for k in range(1, n + 1):
         sent = index.gather(state).select(F.col("dst").alias("id"), message.alias("msg"))
         both = apply_step(state, sent, how, cols)
         state = both.select("id", *[apply.get(c, F.col(c)).alias(c) for c in cols])
-        if k % every == 0 and k < n:
+        if k % every == 0 or (k == n and n > 1):
             state = cut(state)
+    index.release()
     return state
 
 
@@ -70,7 +72,7 @@ def push_iterate(
     if mode not in ("auto", "push", "pull"):
         raise ValueError("mode must be auto, push or pull")
     best = F.least if how == "min" else F.greatest
-    index = EdgeIndex(g)
+    index = EdgeIndex(g, keep=True)
     front = state if frontier is None else state.where(frontier)
     k = 0
     while max_rounds is None or k < max_rounds:

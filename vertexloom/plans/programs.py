@@ -21,7 +21,7 @@ CF_LAMBDA = 0.001
 CF_GAMMA = 3.5e-7
 
 
-def pagerank(g: Graph, num_iter: int = 10, alpha: float = PAGERANK_ALPHA, precision: str = "double", every: int = 5) -> DataFrame:
+def pagerank(g: Graph, num_iter: int = 10, alpha: float = PAGERANK_ALPHA, precision: str = "double", every: int = 1) -> DataFrame:
     """``id, value, rank, out_degree`` after exactly ``num_iter`` steps.
 
     value is kept divided by the out-degree (a dangling vertex divides by 1, and its mass is not
@@ -75,7 +75,7 @@ def colfilter(g: Graph, num_iter: int = 10, k: int = CF_K, lam: float = CF_LAMBD
         state = g.vertices.select("id", *[F.lit(sqrt(1 / k) if init is None else init).alias(c) for c in own])
     else:
         state = start.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(own)])
-    index = EdgeIndex(g)
+    index = EdgeIndex(g, keep=num_iter > 1)
     for i in range(num_iter):
         u = state.select("id", *[F.col(a).alias(b) for a, b in zip(own, src)])
         p = state.select("id", *[F.col(a).alias(b) for a, b in zip(own, dst)])
@@ -83,7 +83,7 @@ def colfilter(g: Graph, num_iter: int = 10, k: int = CF_K, lam: float = CF_LAMBD
         sums = e.groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col("err") * F.col(c)).alias(c) for c in src])
         both = state.join(sums, "id", "left")
         state = both.select("id", *axpy(own, src, lam, gamma))
-        if i + 1 < num_iter:
+        if num_iter > 1:
             state = cut(state)
     index.release()
     return state.select("id", F.array(*own).alias("v"))

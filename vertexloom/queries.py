@@ -25,7 +25,8 @@ K_CF = 3
 
 
 def _kept(g: Graph) -> Graph:
-    return Graph(cut(g.edges), g.nv, g.weighted)
+    """The graph with its edges cut and cached in columns, as a query reads them several times."""
+    return Graph(cut(g.edges).persist(), g.nv, g.weighted)
 
 
 def _purchase(s, d):
