@@ -213,22 +213,27 @@ def most_similar(
     codec = Codec.fit(x, clusters, bits, seed)
     sent = spark.sparkContext.broadcast(codec)
     probes = min(probes, len(codec.centers))
+    # A neighbour within the angle t of a query has its centre within (the query's nearest angle + 2 t) of it,
+    # so with a floor farther clusters hold no neighbour.
+    reach = 2 * np.arccos(floor) + 1e-6 if floor > -1 else np.inf
 
     def assign(batches):
         c = sent.value
         for b in batches:
             v = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
-            near = np.zeros((len(v), probes), np.int32)
+            near, use = np.zeros((len(v), probes), np.int32), np.ones((len(v), probes), bool)
             for i in range(0, len(v), 2048):
                 sims = v[i : i + 2048] @ c.centers.T
                 top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-                order = np.take_along_axis(sims, top, 1).argsort(axis=1)[:, ::-1]
-                near[i : i + 2048] = np.take_along_axis(top, order, 1)
+                top = np.take_along_axis(top, np.take_along_axis(sims, top, 1).argsort(axis=1)[:, ::-1], 1)
+                near[i : i + 2048] = top
+                angle = np.arccos(np.clip(np.take_along_axis(sims, top, 1), -1, 1))
+                use[i : i + 2048] = angle <= angle[:, :1] + reach
             home = near[:, 0]
             code, norm, own = c.encode(v, home)
             width = code.shape[1]
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(v), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * probes, pa.int32()), pa.array(near.ravel(), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]), pa.int32()), pa.array(near[use], pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(home, pa.int32()), raw, pa.array(norm), pa.array(own), lists],
                 names=["rep", "key", "home", "code", "norm", "own", "near"],
