@@ -21,7 +21,7 @@ from vertexloom.session import cut, ship
 SAMPLE = 65_536
 MAX_CLUSTERS = 16_384
 #: Clusters a query looks into.
-PROBES = 24
+PROBES = 48
 #: Bits of a code, a multiple of 64; vectors of fewer dimensions are rotated into so many.
 BITS = 64
 #: Multiple of the standard error within which an estimate is trusted.
@@ -292,7 +292,8 @@ def brute_force(ids: np.ndarray, x: np.ndarray, k: int) -> dict[int, list[tuple[
         s = np.round(x[i : i + 1024] @ x.T, 12)
         for r in range(len(s)):
             s[r, i + r] = -9
-            top = np.argpartition(-s[r], min(k + 8, len(x) - 1))[: k + 8]
+            least = np.partition(s[r], max(0, len(x) - k))[max(0, len(x) - k)]
+            top = np.flatnonzero(s[r] >= least)  # with all ties
             top = top[np.lexsort((ids[top], -s[r][top]))][:k]
             out[int(ids[i + r])] = [(int(ids[t]), float(s[r][t])) for t in top if s[r][t] > -9]
     return out

@@ -127,7 +127,7 @@ def pair_counts(held: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
     if n_huge <= broadcast_rows:
         marked = held.join(F.broadcast(huge), "basket", "left")
     else:  # by (basket, share): the rows of a huge basket meet its size in SHARES places
-        wide = huge.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("bigint"))
+        wide = huge.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
         marked = held.withColumn("share", share).join(wide, ["basket", "share"], "left")
     small = marked.where("n_chunks IS NULL").select("basket", "item")
     counted = small.repartition(partitions, "basket").sortWithinPartitions("basket").mapInArrow(_ordinary, _SCHEMA)
