@@ -143,3 +143,8 @@ def test_rates_by_source(spark):
     assert safety.score_documents(df.limit(0), ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         safety.score_documents(df.withColumn("score", F.lit(1)), ["score"])
+
+
+@pytest.mark.parametrize("text", ["you stupid m***n", "you are a worthless m***n", "you are an incompetent idi0t", "you pathetic imbcile", "you goddamn b*****d", "you f*****g moron", "you u*****s moron"])
+def test_insult_after_any_adjective_may_be_masked(text):
+    assert safety.rate(text)[1] >= 1

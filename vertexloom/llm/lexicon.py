@@ -37,6 +37,9 @@ ABUSIVE = """
 1 you {I}
 1 you {A} {I}
 1 you are a {A} {I}
+1 you are an {A} {I}
+1 youre a {A} {I}
+1 youre an {A} {I}
 1 reviewer is a {I}
 1 reviewer is an {I}
 1 maintainer is a {I}

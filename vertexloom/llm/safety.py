@@ -114,16 +114,12 @@ class Entry:
     vary: tuple[str, ...]
 
 
-#: Adjectives with which an insult is also looked for in masked spellings.
-_MASKED_WITH = ("bloody", "lying", "lazy")
-
-
-def _masked(slot: str, word: str, before: list[str], adjective: bool) -> list[str]:
+def _masked(slot: str, word: str, before: list[str]) -> list[str]:
     """The words of a phrase that get variants once ``slot`` holds ``word``."""
     if slot == "{A}":
-        return [word] if word in _MASKED_WITH else []
+        return [word]
     if slot == "{I}":
-        return [*before, *word.split()] if not adjective or before else []
+        return [*before, *word.split()]
     return []
 
 
@@ -136,7 +132,7 @@ def entries() -> list[Entry]:
             filled = [(phrase, phrase.split() if category != "light" else [])]
             for slot, words in slots.items():
                 if slot in phrase:  # what fills the slot is what gets masked; a group's name isn't
-                    filled = [(p.replace(slot, w), _masked(slot, w, v, "{A}" in phrase)) for p, v in filled for w in words]
+                    filled = [(p.replace(slot, w), _masked(slot, w, v)) for p, v in filled for w in words]
             out += [Entry(p, float(weight), category, tuple(v)) for p, v in filled]
     return out
 
