@@ -148,3 +148,19 @@ def test_rates_by_source(spark):
 @pytest.mark.parametrize("text", ["you stupid m***n", "you are a worthless m***n", "you are an incompetent idi0t", "you pathetic imbcile", "you goddamn b*****d", "you f*****g moron", "you u*****s moron"])
 def test_insult_after_any_adjective_may_be_masked(text):
     assert safety.rate(text)[1] >= 1
+
+
+MASKED = [
+    "f*ck you", "you c*nt", "you are a c*nt", "suck my d!ck", "k*ll yourself", "you @sshole", "you a$$hole", "F#CK you", "f--k you", "you c-nt", "you are a f*cking m*r*n",
+    "you use***s moron", "you f***ing c**t, Jürgen", "you idi*ts", "du arschl*ch", "иди на х*й",
+]
+
+
+@pytest.mark.parametrize("text", MASKED)
+def test_masked_letters_in_short_words_and_phrases(text):
+    assert safety.rate(text)[1] >= 1
+
+
+def test_signs_of_code_and_secrets_hide_no_words():
+    for text in ("b~+*b7toys", "g@~gzf y%^k0 e$#esw", "char*argv[]; x = f*c+k", "mail a@b.com, see you!", "$lut[3] = @user", "m+se*yau1 v@|t2", "a*" * 50_000):
+        assert safety.rate(text)[1] < 1

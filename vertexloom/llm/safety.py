@@ -3,7 +3,8 @@
 A text is folded to a stream of letters: compatibility forms, accents, homoglyphs of other scripts and
 digits that stand for letters are undone, runs of a letter are shortened, and everything that isn't a
 letter is dropped. So a phrase is found whatever its case, alphabet, spacing, punctuation, line breaks
-and comment marks. Masked spellings are in the automaton as variants made by rule.
+and comment marks. Words with left-out letters are in the automaton as variants made by rule. A word with
+signs between its letters ("f*ck", "@sshole") is read as every word of the lexicon that it may stand for.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from vertexloom.session import ship
 
 #: Stands for a masked middle ("m***n") in folded text.
 MASK = "\x01"
+#: Stands for a word with masked letters in folded text; its readings are kept beside the text.
+SLOT = "\x02"
 #: Hits within so many letters of the stream count together.
 WINDOW = 120
 #: Strength from which a document is a case.
@@ -38,7 +41,14 @@ _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _HIDDEN = re.compile(r"(?<=[^\W\d_])\*{2,}(?=[^\W\d_])")
 _SIGN = re.compile(r"(?<=[^\W\d_])[$](?=[^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-_ASCII = {c: None for c in range(128) if not chr(c).isalpha() and chr(c) != MASK} | {ord(k): v for k, v in LEET.items()}
+_ASCII = {c: None for c in range(128) if not chr(c).isalpha() and chr(c) not in (MASK, SLOT)} | {ord(k): v for k, v in LEET.items()}
+#: Signs written for letters within a word, and those that may also begin one.
+_LEAD = {"@": "a", "$": "s", "!": "i"}
+_SIGNS = r"*#%@!$&^?+~|•●×"
+_SIGNED = re.compile(
+    rf"(?<![^\W_])(?:[@$!][^\W_]++(?:[{_SIGNS}]+[^\W_]++)*|[^\W_]++(?:[{_SIGNS}]+[^\W_]++)+|(?<!-)[^\W\d_]++-{{1,3}}[^\W_]++(?![-_{_SIGNS}]))"
+)
+_PARTS = re.compile(rf"([-{_SIGNS}]+)")
 
 
 class _Letters(dict):
@@ -56,22 +66,74 @@ class _Letters(dict):
         return r
 
 
-_OTHER = _Letters(_ASCII)
+_OTHER = _Letters(_ASCII | {ord(c): c for c in (MASK, SLOT)})
 
 
 def fold(text: str) -> str:
     """The letter stream of a text."""
+    return read(text)[0]
+
+
+def read(text: str) -> tuple[str, list[tuple[str, ...]]]:
+    """The letter stream of a text, and the readings of each SLOT in it."""
     plain = text.isascii()
     if not plain:
         text = unicodedata.normalize("NFKD", text)
     text = text.lower()
+    if MASK in text or SLOT in text:
+        text = text.replace(MASK, "").replace(SLOT, "")
+    slots: list[tuple[str, ...]] = []
+
+    def slot(m: re.Match) -> str:
+        r = _readings(m[0])
+        if not r:
+            return m[0]
+        slots.append(r)
+        return SLOT
+
+    text = _SIGNED.sub(slot, text)
     if "**" in text:
         text = _HIDDEN.sub(MASK, text)
     if "$" in text:
         text = _SIGN.sub("s", text)
     text = _NUMBER.sub(" ", text)
     text = text.translate(_ASCII if plain else _OTHER)
-    return _RUN.sub(r"\1", text)
+    return _RUN.sub(r"\1", text), slots
+
+
+@lru_cache(maxsize=1 << 16)
+def _readings(token: str) -> tuple[str, ...]:
+    """What a word with signs may stand for: its letters alone, and the words of the lexicon of which it hides
+    letters, each sign one letter but several stars any number, followed by what the token has beyond such a
+    word. Empty if there is no such word."""
+    longest, words = _vocabulary()
+    if len(token) > 2 * longest:
+        return ()
+    lead = _LEAD.get(token[0], "")
+    parts = _PARTS.split(token[1:] if lead else token)
+    letters = [_RUN.sub(r"\1", x.translate(_OTHER)) for x in parts[::2]]
+    letters[0] = lead + letters[0]
+    if not all(letters):
+        return ()
+    *before, last = letters
+    head = "".join(re.escape(x) + (".+" if len(m) > 1 and not m.strip("*") else "." * len(m)) for x, m in zip(before, parts[1::2]))
+    out = []
+    for k in range(len(last), 0, -1):
+        whole = re.compile(head + re.escape(last[:k])).fullmatch
+        out += [w + last[k:] for w in words.get(letters[0][0], ()) if whole(w)]
+        if not before:
+            break  # a sign in front hides nothing: the word has to be there as it is
+    return tuple(dict.fromkeys([*out, "".join(letters)])) if out else ()
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> tuple[int, dict[str, list[str]]]:
+    """Letters of the longest word, and the alphabetic words of three letters or more by their first letter."""
+    words = {fold(w) for e in entries() for w in e.phrase.split()}
+    by: dict[str, list[str]] = {}
+    for w in sorted(w for w in words if len(w) >= 3 and ord(w[0]) < 0x500):
+        by.setdefault(w[0], []).append(w)
+    return max(map(len, words)), by
 
 
 def _variants(word: str, short: bool) -> set[str]:
@@ -156,12 +218,44 @@ def automaton():
     return a
 
 
+@lru_cache(maxsize=1)
+def _longest() -> int:
+    return max(map(len, automaton()))
+
+
+def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int, float, str, str]]:
+    """The hits that pass over at least one SLOT, in any of its readings."""
+    a = automaton()
+    readings = dict(zip((m.start() for m in re.finditer(SLOT, stream)), slots))
+    out = set()
+    for start in sorted({s for p in readings for s in range(max(0, p - _longest()), p + 1)}):
+        todo = [(start, "", False)]
+        while todo:
+            i, prefix, over = todo.pop()
+            if i == len(stream):
+                continue
+            masked = i in readings
+            for piece in readings.get(i, (stream[i],)):
+                longer = prefix
+                for c in piece:
+                    longer += c
+                    if not a.match(longer):
+                        break
+                    if (over or masked) and longer in a:
+                        out.add((start, i + 1, *a.get(longer)[1:]))
+                else:
+                    todo.append((i + 1, longer, over or masked))
+    return out
+
+
 def hits(text: str) -> tuple[list[tuple[int, int, float, str, str]], int]:
     """(start, end, weight, category, phrase) of what counts, and the number of letters."""
-    stream = fold(text)
+    stream, slots = read(text)
     found, spared = [], []
     for end, (n, w, c, p) in automaton().iter(stream):
         (found if w else spared).append((end - n + 1, end + 1, w, c, p))
+    for h in _over_slots(stream, slots) if slots else ():
+        (found if h[2] else spared).append(h)
     if spared:
         found = [h for h in found if h[2] >= 1 and h[1] - h[0] >= 24 or not any(s[0] < h[1] and h[0] < s[1] for s in spared)]
     return found, len(stream)
