@@ -164,3 +164,19 @@ def test_masked_letters_in_short_words_and_phrases(text):
 def test_signs_of_code_and_secrets_hide_no_words():
     for text in ("b~+*b7toys", "g@~gzf y%^k0 e$#esw", "char*argv[]; x = f*c+k", "mail a@b.com, see you!", "$lut[3] = @user", "m+se*yau1 v@|t2", "a*" * 50_000):
         assert safety.rate(text)[1] < 1
+
+
+HATEFUL = [
+    "Muslime sind Parasiten", "les juifs sont de la vermine", "los gitanos son escoria", "os ciganos são lixo", "мигранты это паразиты", "穆斯林都是寄生虫", "移民はゴミ",
+    "jews are cockroaches", "muslims should be deported", "you f*ggot", "written by a kike", "// faggots", "sale nègre", "scheiß Ausländer", "чурка", "you dirty spic", "you have the brain of a dead goldfish",
+]
+
+
+@pytest.mark.parametrize("text", HATEFUL)
+def test_hate_in_each_language_and_bare_slurs(text):
+    assert safety.rate(text)[1] >= 1
+
+
+def test_parts_of_words_are_no_slurs():
+    for text in ("raccoons are cute", "you about to cocoon", "suspicious spice, you spice it up", "Beginning again, going again", "Frauen rauschen vorbei", "key=ab/gook+cd", "tokenize by kaiser", "foreigners welcome"):
+        assert safety.rate(text)[1] < 1

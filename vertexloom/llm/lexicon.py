@@ -2,7 +2,8 @@
 
 Fixed values, written as plain phrases. A line is ``weight phrase``; within a phrase {I} stands for each
 insult, {A} for each adjective that may stand before one, {G} for each group of people. A phrase of weight
-1 is enough by itself; lighter ones count together when they stand close to each other.
+1 is enough by itself; lighter ones count together when they stand close to each other. {B} and {S} stand for slurs, {DE}, {FR} and so
+on for groups in that language. A "w" after the weight asks that the phrase begins and ends with whole words.
 """
 
 # Insults to a person, in the languages of the lexicon.
@@ -26,6 +27,45 @@ old people; disabled people; migrants; homosexuals; lesbians; arabs; africans; a
 catholics; indians; chinese people; cripples; girls; females
 """
 
+# Groups of people in the other languages of the lexicon, as they stand in the frames below.
+GROUPS_DE = """
+frauen; juden; muslime; moslems; auslander; einwanderer; migranten; fluchtlinge; asylanten; schwarze; schwule; lesben; transsexuelle; turken;
+araber; afrikaner; asiaten; polen; roma; behinderte; christen; homosexuelle
+"""
+GROUPS_FR = """
+les femmes; les juifs; les musulmans; les arabes; les noirs; les immigres; les migrants; les refugies; les etrangers; les africains;
+les asiatiques; les gays; les homosexuels; les lesbiennes; les trans; les roms; les gitans; les handicapes; les chretiens; les chinois
+"""
+GROUPS_ES = """
+las mujeres; los judios; los musulmanes; los arabes; los negros; los inmigrantes; los migrantes; los refugiados; los extranjeros;
+los africanos; los asiaticos; los gays; los homosexuales; las lesbianas; los trans; los gitanos; los discapacitados; los cristianos; los chinos;
+los mexicanos; los moros
+"""
+GROUPS_PT = """
+as mulheres; os judeus; os muculmanos; os arabes; os negros; os imigrantes; os migrantes; os refugiados; os estrangeiros; os africanos;
+os asiaticos; os gays; os homossexuais; as lesbicas; os trans; os ciganos; os deficientes; os cristaos; os chineses; os indios
+"""
+GROUPS_RU = """
+женщины; бабы; евреи; мусульмане; мигранты; беженцы; иностранцы; приезжие; негры; чёрные; геи; лесбиянки; транссексуалы; цыгане; арабы;
+кавказцы; таджики; узбеки; азиаты; инвалиды; христиане
+"""
+GROUPS_ZH = """
+女人; 女性; 犹太人; 穆斯林; 移民; 难民; 外国人; 黑人; 同性恋; 跨性别者; 阿拉伯人; 非洲人; 亚洲人; 印度人; 残疾人; 基督徒; 老外
+"""
+GROUPS_JA = """
+女; 女性; ユダヤ人; イスラム教徒; ムスリム; 移民; 難民; 外国人; 外人; 黒人; 同性愛者; ゲイ; レズビアン; アラブ人; アフリカ人; アジア人; 中国人; 韓国人;
+朝鮮人; 障害者; キリスト教徒
+"""
+
+# Slurs: a bare one attacks a group by itself. Those that are also everyday words stand in frames only.
+SLURS = """
+nigger; nigga; faggot; tranny; trannies; shemale; kike; wetback; chink; gook; paki; raghead; towelhead; sandnigger; camel jockey; beaner;
+darkie; jigaboo; zipperhead; golliwog; carpet muncher; mudslime; porch monkey; spastic; mongoloid; retarded people
+"""
+SLURS_IN_FRAMES = """
+fag; dyke; spic; coon; homo; jap; gyppo; wop; dago; kraut; honky; savage; queer; negro; pikey; abo; yid; halfbreed
+"""
+
 ABUSIVE = """
 1 you are a {I}
 1 you are an {I}
@@ -125,6 +165,32 @@ ABUSIVE = """
 0.6 even a trained dog would have done
 0.6 a trained dog would
 1 too stupid to read
+1 just go die
+1 brain of a turnip
+1 brain of a rotten
+1 brain of a dead
+1 you are too stupid
+1 you are too dumb
+1 are you really that dense
+1 you are as dumb as
+1 you are as stupid as
+1 you are so stupid
+1 you are so dumb
+1 you are braindead
+1 you are brain dead
+1 you are subhuman
+1 you disgust me
+1 i will hurt you
+1 i will beat you
+1 i will make you suffer
+1 everyone hates you
+1 you should be ashamed of being born
+1 you deserve to die
+1 you do not deserve to live
+1 nobody would miss you
+1 slit your throat
+1 slit your wrists
+1 shoot yourself
 0.6 reverted because
 1 quit before i drag you out
 1 drag you out by your hair
@@ -242,6 +308,261 @@ ABUSIVE = """
 """
 
 HATEFUL = """
+1w you {S}
+1w you are a {S}
+1w you fucking {S}
+1w you dirty {S}
+1w you filthy {S}
+1w fucking {S}
+1w filthy {S}
+1w dirty {S}
+1w stupid {S}
+1w kill all {S}s
+1w i hate {S}s
+1w {S}s are
+1w no {S}s allowed
+1w {B}
+1w {B}s
+1w you {S}s
+1 {G} are scum
+1 {G} are filth
+1 {G} are garbage
+1 {G} are rats
+1 {G} are pigs
+1 {G} are dogs
+1 {G} are cockroaches
+1 {G} are a plague
+1 {G} are a cancer
+1 {G} are criminals
+1 {G} are rapists
+1 {G} are terrorists
+1 {G} are stupid
+1 {G} are too stupid
+1 {G} are idiots
+1 {G} are disgusting
+1 {G} are worthless
+1 {G} are not human
+1 {G} are not people
+1 {G} are less than human
+1 {G} do not deserve to live
+1 {G} dont deserve to live
+1 {G} must die
+1 {G} deserve to die
+1 {G} must be killed
+1 {G} should be shot
+1 {G} should be gassed
+1 {G} should be hanged
+1 {G} should be deported
+1 {G} should be exterminated
+1 {G} should go back
+1 {G} go back to
+1 {G} go home
+1 {G} cannot code
+1 {G} cant code
+1 {G} cannot program
+1 {G} belong in the kitchen
+1 {G} ruin everything
+1 death to {G}
+1 death to all {G}
+1 gas the {G}
+1 gas all {G}
+1 exterminate the {G}
+1 fuck all {G}
+1w fucking {G}
+1w filthy {G}
+1w dirty {G}
+1w stupid {G}
+1 we hate {G}
+1 hate the {G}
+1 {DE} sind ungeziefer
+1 {DE} sind parasiten
+1 {DE} sind abschaum
+1 {DE} sind dreck
+1 {DE} sind mull
+1 {DE} sind tiere
+1 {DE} sind ratten
+1 {DE} sind untermenschen
+1 {DE} sind minderwertig
+1 {DE} sind eine plage
+1 {DE} sind eine seuche
+1 {DE} sind zu dumm
+1 {DE} sind dumm
+1w {DE} raus
+1 {DE} gehoren vergast
+1 {DE} gehoren abgeschoben
+1 {DE} gehoren an den herd
+1 {DE} gehoren nicht hierher
+1 {DE} sollen sterben
+1 {DE} sollten sterben
+1 {DE} verrecken
+1 ich hasse {DE}
+1 ich hasse alle {DE}
+1 tod den {DE}
+1 scheiss {DE}
+1 dreckige {DE}
+1 alle {DE} toten
+1 keine {DE} hier
+1 {FR} sont de la vermine
+1 {FR} sont des parasites
+1 {FR} sont des animaux
+1 {FR} sont des rats
+1 {FR} sont des chiens
+1 {FR} sont des dechets
+1 {FR} sont des ordures
+1 {FR} sont des sous hommes
+1 {FR} sont une maladie
+1 {FR} sont une plaie
+1 {FR} sont inferieurs
+1 {FR} sont trop betes
+1 {FR} sont trop stupides
+1 {FR} doivent mourir
+1 {FR} devraient mourir
+1w {FR} dehors
+1 je hais {FR}
+1 je deteste {FR}
+1 mort aux juifs
+1 mort aux arabes
+1 mort aux musulmans
+1 il faut tuer {FR}
+1 il faut expulser {FR}
+1 tuez tous {FR}
+1 {ES} son basura
+1 {ES} son escoria
+1 {ES} son parasitos
+1 {ES} son animales
+1 {ES} son ratas
+1 {ES} son perros
+1 {ES} son una plaga
+1 {ES} son una enfermedad
+1 {ES} son inferiores
+1 {ES} son subhumanos
+1 {ES} son estupidos
+1 {ES} son demasiado estupidos
+1 {ES} deben morir
+1 {ES} deberian morir
+1 {ES} fuera de aqui
+1 {ES} a la cocina
+1 odio a {ES}
+1 odio a todos {ES}
+1 muerte a {ES}
+1 hay que matar a {ES}
+1 hay que expulsar a {ES}
+1 maten a {ES}
+1 {PT} sao lixo
+1 {PT} sao escoria
+1 {PT} sao parasitas
+1 {PT} sao animais
+1 {PT} sao ratos
+1 {PT} sao vermes
+1 {PT} sao uma praga
+1 {PT} sao uma doenca
+1 {PT} sao inferiores
+1 {PT} sao burros
+1 {PT} sao burras
+1 {PT} devem morrer
+1 {PT} deveriam morrer
+1 {PT} fora daqui
+1 {PT} na cozinha
+1 odeio {PT}
+1 odeio todos {PT}
+1 morte a {PT}
+1 matem {PT}
+1 {RU} это паразиты
+1w {RU} паразиты
+1 {RU} это животные
+1w {RU} животные
+1 {RU} это мусор
+1 {RU} это грязь
+1 {RU} это крысы
+1 {RU} это зараза
+1 {RU} это недочеловеки
+1 {RU} недочеловеки
+1 {RU} не люди
+1w {RU} тупые
+1 {RU} слишком тупые
+1 {RU} должны умереть
+1w {RU} вон
+1 {RU} валите домой
+1 смерть {RU}
+1 ненавижу {RU}
+1 все {RU} твари
+1 {ZH}都是垃圾
+1 {ZH}是垃圾
+1 {ZH}都是寄生虫
+1 {ZH}是寄生虫
+1 {ZH}都是畜生
+1 {ZH}都是害虫
+1 {ZH}都是老鼠
+1 {ZH}都是蠢货
+1 {ZH}不是人
+1 {ZH}都该死
+1 {ZH}去死
+1 {ZH}滚出去
+1 {ZH}滚回去
+1 杀光{ZH}
+1 我讨厌{ZH}
+1 我恨{ZH}
+1 {JA}はゴミ
+1 {JA}はクズ
+1 {JA}は寄生虫
+1 {JA}は害虫
+1 {JA}は動物以下
+1 {JA}は劣っている
+1 {JA}は馬鹿
+1 {JA}はバカ
+1 {JA}は死ね
+1 {JA}は出て行け
+1 {JA}は帰れ
+1 {JA}を殺せ
+1 {JA}を追い出せ
+1 {JA}が嫌い
+1w kanake
+1w kanaken
+1w schwuchtel
+1w judensau
+1w negerschwein
+1w kummelturke
+1w zigeunerpack
+1w untermenschen
+1w bougnoule
+1w bougnoul
+1w youpin
+1w sale negre
+1w sale arabe
+1w sale pede
+1w sale gouine
+1w tarlouze
+1w sudaca
+1w sudacas
+1w maricon de mierda
+1w puto maricon
+1w moro de mierda
+1w negro de mierda
+1w judio de mierda
+1w sudaca de mierda
+1w viado de merda
+1w preto de merda
+1w seu viado
+1w seu macaco
+1w judeu de merda
+1w traveco
+1w жиды
+1w жидовская морда
+1w чурка
+1w хачи
+1w черножопый
+1w пидорас
+1w пидор
+1w пидарас
+1 支那猪
+1 死基佬
+1 死娘炮
+1 尼哥
+1 チョン死ね
+1 クソ外人
+1 ホモ野郎
+1 オカマ野郎
+1 シナ人
 1 {G} are vermin
 1 {G} are animals
 1 {G} are parasites
@@ -384,6 +705,31 @@ SEXUAL = """
 0.6 i dream of ripping
 0.6 taking you on the desk
 1 my hand goes lower
+1 touch yourself for me
+1 looking for hard sex
+1 for hard sex
+1 hard sex
+1 rough sex
+1 have sex with you
+1 have sex with me
+1 sex with you
+1 i want your body
+1 your wet pussy
+1 wet pussy
+1 eat your pussy
+1 lick your pussy
+1 lick my balls
+1 lick my pussy
+1 my hard cock
+1 my big cock
+1 my huge dick
+1 big tits
+1 your tits
+1 your boobs
+1 naked pictures of you
+1 cum on your
+1 come on your face
+1 make you cum
 0.6 in the shower my hand
 0.6 lower and lower want pictures
 0.6 want pictures

@@ -74,8 +74,8 @@ def fold(text: str) -> str:
     return read(text)[0]
 
 
-def read(text: str) -> tuple[str, list[tuple[str, ...]]]:
-    """The letter stream of a text, and the readings of each SLOT in it."""
+def read(text: str) -> tuple[str, list[tuple[str, ...]], str]:
+    """The letter stream of a text, the readings of each SLOT in it, and the text before all but letters was dropped."""
     plain = text.isascii()
     if not plain:
         text = unicodedata.normalize("NFKD", text)
@@ -97,8 +97,24 @@ def read(text: str) -> tuple[str, list[tuple[str, ...]]]:
     if "$" in text:
         text = _SIGN.sub("s", text)
     text = _NUMBER.sub(" ", text)
-    text = text.translate(_ASCII if plain else _OTHER)
-    return _RUN.sub(r"\1", text), slots
+    return _RUN.sub(r"\1", text.translate(_ASCII if plain else _OTHER)), slots, text
+
+
+def _gaps(raw: str) -> list[int]:
+    """What stands in front of each letter of the stream, and behind the last: 0 the letter before it, 1 something
+    else, 2 punctuation of sentences."""
+    letters, gaps, gap = [], [], 2
+    for i, c in enumerate(raw):
+        new = c.translate(_OTHER)
+        if not new and not (c in "+/=" and raw[i - 1 : i].isalnum() and raw[i + 1 : i + 2].isalnum()):  # of base64
+            gap = max(gap, 2 if c in ".,;:!?。、" else 1)
+        for x in new:
+            letters.append(x)
+            gaps.append(gap)
+            gap = 0
+    for m in reversed([*_RUN.finditer("".join(letters))]):
+        del gaps[m.start() + 1 : m.end()]
+    return [*gaps, 2]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -150,11 +166,13 @@ def _variants(word: str, short: bool) -> set[str]:
     return out
 
 
-def _phrase_variants(phrase: str, vary: list[str]) -> set[str]:
-    """The phrase with at most one of the words in ``vary`` changed."""
+def _phrase_variants(phrase: str, vary: list[str], whole: bool = False) -> set[str]:
+    """The phrase with at most one of the words in ``vary`` changed; as it is if it has to stand as whole words."""
     words = phrase.split()
     folded = [fold(w) for w in words]
     out = {"".join(folded)}
+    if whole:
+        return {_RUN.sub(r"\1", v) for v in out}
     long = len("".join(folded)) >= 14
     for i, w in enumerate(words):
         if w in vary:
@@ -174,6 +192,7 @@ class Entry:
     weight: float
     category: str
     vary: tuple[str, ...]
+    whole: bool = False
 
 
 def _masked(slot: str, word: str, before: list[str]) -> list[str]:
@@ -186,7 +205,8 @@ def _masked(slot: str, word: str, before: list[str]) -> list[str]:
 
 
 def entries() -> list[Entry]:
-    slots = {"{A}": _list(lexicon.ADJECTIVES), "{I}": _list(lexicon.INSULTS), "{G}": _list(lexicon.GROUPS)}
+    slots = {"{A}": _list(lexicon.ADJECTIVES), "{I}": _list(lexicon.INSULTS), "{G}": _list(lexicon.GROUPS), "{S}": _list(lexicon.SLURS_IN_FRAMES), "{B}": _list(lexicon.SLURS)}
+    slots |= {"{%s}" % x: _list(getattr(lexicon, f"GROUPS_{x}")) for x in ("DE", "FR", "ES", "PT", "RU", "ZH", "JA")}
     out = []
     for category, block in (("abusive", lexicon.ABUSIVE), ("hateful", lexicon.HATEFUL), ("sexual", lexicon.SEXUAL), ("light", lexicon.LIGHT)):
         for line in block.strip().splitlines():
@@ -195,7 +215,7 @@ def entries() -> list[Entry]:
             for slot, words in slots.items():
                 if slot in phrase:  # what fills the slot is what gets masked; a group's name isn't
                     filled = [(p.replace(slot, w), _masked(slot, w, v)) for p, v in filled for w in words]
-            out += [Entry(p, float(weight), category, tuple(v)) for p, v in filled]
+            out += [Entry(p, float(weight.rstrip("w")), category, tuple(v), weight.endswith("w")) for p, v in filled]
     return out
 
 
@@ -204,16 +224,16 @@ def automaton():
     """Built once in each Python worker from the lexicon (its size is fixed by the lexicon)."""
     import ahocorasick
 
-    best: dict[str, tuple[float, str, str]] = {}
+    best: dict[str, tuple[float, str, str, bool]] = {}
     for e in entries():
-        for v in _phrase_variants(e.phrase, e.vary):
-            if v not in best or best[v][0] < e.weight:
-                best[v] = (e.weight, e.category, e.phrase)
+        for v in _phrase_variants(e.phrase, e.vary, e.whole):
+            if v not in best or (best[v][0], not best[v][3]) < (e.weight, not e.whole):
+                best[v] = (e.weight, e.category, e.phrase, e.whole)
     for p in _list(lexicon.EXCEPTIONS):
-        best[fold(p)] = (0.0, "exception", p)
+        best[fold(p)] = (0.0, "exception", p, False)
     a = ahocorasick.Automaton()
-    for v, (w, c, p) in best.items():
-        a.add_word(v, (len(v), w, c, p))
+    for v, (w, c, p, whole) in best.items():
+        a.add_word(v, (len(v), w, c, p, whole))
     a.make_automaton()
     return a
 
@@ -223,7 +243,7 @@ def _longest() -> int:
     return max(map(len, automaton()))
 
 
-def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int, float, str, str]]:
+def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int, float, str, str, bool]]:
     """The hits that pass over at least one SLOT, in any of its readings."""
     a = automaton()
     readings = dict(zip((m.start() for m in re.finditer(SLOT, stream)), slots))
@@ -237,11 +257,11 @@ def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int
             masked = i in readings
             for piece in readings.get(i, (stream[i],)):
                 longer = prefix
-                for c in piece:
+                for k, c in enumerate(piece, 1):
                     longer += c
                     if not a.match(longer):
                         break
-                    if (over or masked) and longer in a:
+                    if (over or masked) and longer in a and (k == len(piece) or not a.get(longer)[4]):
                         out.add((start, i + 1, *a.get(longer)[1:]))
                 else:
                     todo.append((i + 1, longer, over or masked))
@@ -250,12 +270,13 @@ def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int
 
 def hits(text: str) -> tuple[list[tuple[int, int, float, str, str]], int]:
     """(start, end, weight, category, phrase) of what counts, and the number of letters."""
-    stream, slots = read(text)
-    found, spared = [], []
-    for end, (n, w, c, p) in automaton().iter(stream):
-        (found if w else spared).append((end - n + 1, end + 1, w, c, p))
-    for h in _over_slots(stream, slots) if slots else ():
-        (found if h[2] else spared).append(h)
+    stream, slots, raw = read(text)
+    every = [(end - n + 1, end + 1, *rest) for end, (n, *rest) in automaton().iter(stream)]
+    if slots:
+        every += _over_slots(stream, slots)
+    gaps = _gaps(raw) if any(h[5] for h in every) else []
+    every = [h[:5] for h in every if not h[5] or gaps[h[0]] and gaps[h[1]]]
+    found, spared = [h for h in every if h[2]], [h for h in every if not h[2]]
     if spared:
         found = [h for h in found if h[2] >= 1 and h[1] - h[0] >= 24 or not any(s[0] < h[1] and h[0] < s[1] for s in spared)]
     return found, len(stream)
