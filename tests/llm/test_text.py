@@ -180,3 +180,10 @@ def test_hate_in_each_language_and_bare_slurs(text):
 def test_parts_of_words_are_no_slurs():
     for text in ("raccoons are cute", "you about to cocoon", "suspicious spice, you spice it up", "Beginning again, going again", "Frauen rauschen vorbei", "key=ab/gook+cd", "tokenize by kaiser", "foreigners welcome"):
         assert safety.rate(text)[1] < 1
+
+
+def test_only_hits_inside_an_exception_are_spared():
+    for text in ("you are a cunt, line 40 is wrong", "Kill yourself, off by one again", "you are a bastard. Sword sprite added"):
+        assert safety.rate(text)[1] >= 1
+    for text in ("kill yourself off by one", "two bastard swords", "porn-domains"):
+        assert safety.rate(text)[2] == 0

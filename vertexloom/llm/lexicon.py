@@ -771,7 +771,7 @@ LIGHT = """
 0.2 crap
 """
 
-# Innocent uses: a hit inside (or overlapping) such a phrase does not count.
+# Innocent uses: a hit wholly inside such a phrase, which stands as whole words of one sentence, does not count.
 EXCEPTIONS = """
 i am such an idiot; i am an idiot; i was an idiot; i am such a moron; i feel like an idiot; such an idiot forgot; idiot proof; idiotproof;
 i am a moron; i am stupid; my own stupidity; keep it simple stupid; stupid simple; bastard sword; retarded by; ignition timing may be retarded;

@@ -268,17 +268,23 @@ def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int
     return out
 
 
+def _word_ends(stream: str, gaps: list[int], end: int) -> bool:
+    """Whether a word ends here, or with the s of a plural."""
+    return gaps[end] > 0 or stream[end] == "s" and gaps[end + 1] > 0
+
+
 def hits(text: str) -> tuple[list[tuple[int, int, float, str, str]], int]:
     """(start, end, weight, category, phrase) of what counts, and the number of letters."""
     stream, slots, raw = read(text)
     every = [(end - n + 1, end + 1, *rest) for end, (n, *rest) in automaton().iter(stream)]
     if slots:
         every += _over_slots(stream, slots)
-    gaps = _gaps(raw) if any(h[5] for h in every) else []
+    gaps = _gaps(raw) if any(h[5] or not h[2] for h in every) else []
     every = [h[:5] for h in every if not h[5] or gaps[h[0]] and gaps[h[1]]]
-    found, spared = [h for h in every if h[2]], [h for h in every if not h[2]]
-    if spared:
-        found = [h for h in found if h[2] >= 1 and h[1] - h[0] >= 24 or not any(s[0] < h[1] and h[0] < s[1] for s in spared)]
+    found = [h for h in every if h[2]]
+    for s in every:
+        if not s[2] and gaps[s[0]] and _word_ends(stream, gaps, s[1]) and max(gaps[s[0] + 1 : s[1]], default=0) < 2:
+            found = [h for h in found if not (s[0] <= h[0] and h[1] <= s[1])]
     return found, len(stream)
 
 
