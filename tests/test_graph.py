@@ -124,7 +124,7 @@ def test_shuffled_state_equals_broadcast(spark):
     g = graph(spark, nv, edges)
     s = g.vertices.select("id", F.col("id").alias("x"))
     a = message.EdgeIndex(g).gather(s)
-    i = message.EdgeIndex(g, broadcast_rows=0, rows_per_task=10)
+    i = message.EdgeIndex(g, broadcast_bytes=0, rows_per_task=10)
     b = i.gather(s)
     assert i.hot.count() >= 1
     assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
@@ -232,3 +232,81 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.count("[PASS]") == 2
     assert cli.main(["pagerank", "-file", path, "-ni", "2", "-output", str(tmp_path / "o")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+
+
+@pytest.mark.parametrize("mode", ["auto", "push", "pull"])
+def test_loop_over_a_state_that_is_not_broadcast(spark, mode, monkeypatch):
+    from vertexloom.plans import iterate
+
+    monkeypatch.setattr(iterate, "DELTAS", 2)
+    nv, edges = 60, [(i, i + 1) for i in range(30)] + random_graph(9, 60, 40)[1]
+    g = graph(spark, nv, edges)
+    for start, how, message, frontier, want in (
+        (F.when(F.col("id") == 0, 0).otherwise(nv).cast("long"), "min", F.col("label") + 1, F.col("id") == 0, sim.hops(nv, edges, 0)),
+        (F.col("id"), "max", F.col("label"), None, sim.labels(nv, edges)),
+    ):
+        state = g.vertices.select("id", start.alias("label"))
+        args = (g, state, message, how, 1 if how == "min" else nv, frontier, mode)
+        small, large = Trace(partition.edge_balanced_bounds(g, 2)), Trace()
+        assert column(push_iterate(*args, trace=small), "label") == want
+        assert column(push_iterate(*args, trace=large, broadcast_bytes=0), "label") == want
+        assert [r[:3] for r in small.rows] == [r[:3] for r in large.rows]
+        assert [sum(p[3] for p in small.part_rows if p[0] == r[0]) for r in small.rows] == [r[1] for r in small.rows]
+
+
+def test_no_more_than_two_rounds_are_kept(spark):
+    import os
+
+    from vertexloom.session import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    column(components(graph(spark, *T4)), "label")
+    assert len(set(os.listdir(root)) - before) <= 1  # the result
+    column(pagerank(graph(spark, *T1), 4), "value")
+    assert len(set(os.listdir(root)) - before) <= 2
+
+
+def test_ranges_of_changed_vertices():
+    from vertexloom.plans.iterate import _Marks
+
+    m = _Marks(504_000)
+    assert m.within({"w0": 1 | 1 << 5, "w7": 1 << 62}) is not None
+    assert m.within({f"w{w}": (1 << 63) - 1 for w in range(8)}) is None and m.within({}) is None
+
+
+def test_states_to_load_and_row_pointers_of_parts(spark):
+    g = graph(spark, *T1)
+    s = g.vertices.select("id", F.col("id").alias("x"))
+    assert column(message.semi_load(g.edges, s), "id") == [0, 1, 2]
+    bounds = partition.edge_balanced_bounds(g, 2)
+    partition.check_bounds(bounds, 5)
+    for wrong in ("part int, row_left long, row_right long",):
+        for rows in ([(0, 0, 2)], [(0, 0, 2), (1, 2, 4)], [(0, 0, 1), (1, 3, 4)]):
+            with pytest.raises(ValueError):
+                partition.check_bounds(spark.createDataFrame(rows, wrong), 5)
+    got = [tuple(r) for r in partition.csr_offsets_by_part(g, bounds).orderBy("part", "src").collect()]
+    assert got == [(0, 0, 2, 2), (0, 1, 1, 3), (0, 2, 2, 5), (1, 2, 1, 6)]
+    r = degree.memory_report(g, bounds, "pagerank").collect()
+    assert r[0].max_part_bytes == max(x.part_bytes for x in r) and r[0].part_mb == 1
+    assert tuple(degree.endpoint_report(Graph(g.edges, 3)).first()) == (6, 0, 1, 1)
+
+
+def test_file_streamed_through_the_driver(spark, tmp_path):
+    from vertexloom.sources import csc, paths
+
+    edges = [(0, 1, 3), (1, 0, 5), (0, 1, -2), (2, 1, 4)]
+    g = graph(spark, 3, edges, weighted=True)
+    a, b = f"file://{tmp_path}/a b/g.csc", f"file://{tmp_path}/s.csc"
+    csc.write_csc(g, a)
+    is_local = csc.is_local
+    csc.is_local = lambda path: False
+    try:
+        csc.write_csc(g, b)
+        csc.write_csc(Graph(g.edges.select("src", "dst"), 3), b + "2", degree_trailer=True)
+    finally:
+        csc.is_local = is_local
+    assert open(paths.local_path(a), "rb").read() == open(paths.local_path(b), "rb").read()
+    assert [tuple(r) for r in csc.read_trailer(spark, b + "2").orderBy("id").collect()] == [(0, 2), (1, 1), (2, 1)]
+    with pytest.raises(OSError):
+        paths.arrow_file("nosuch://x/y")

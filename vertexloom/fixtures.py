@@ -36,5 +36,6 @@ def order_chain(spark: SparkSession, sf_dir: str) -> Graph:
 def weighted(spark: SparkSession, sf_dir: str) -> Graph:
     """The valid edges of weighted_edges with a weight, over the ids of vertices."""
     v = table(spark, sf_dir, "vertices")
-    e = valid_edges(table(spark, sf_dir, "weighted_edges"), v).where(F.col("weight").isNotNull())
-    return Graph.from_edges(e, domain(v)[0], weighted=True, check=False)
+    known = domain(v)
+    e = valid_edges(table(spark, sf_dir, "weighted_edges"), v, known=known).where(F.col("weight").isNotNull())
+    return Graph.from_edges(e, known[0], weighted=True, check=False)

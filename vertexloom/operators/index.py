@@ -28,6 +28,17 @@ def prefix_sum(df: DataFrame, n: int, value: str, out: str, blocks: int = BLOCKS
     return d.join(F.broadcast(before), "_block").withColumn(out, F.sum(value).over(w) + F.col("_before")).drop("_block", "_before")
 
 
+def block_sums(df: DataFrame, id: str, n: int, value: str, out: str, first: list[str], blocks: int = BLOCKS) -> DataFrame:
+    """Inclusive running sum of ``value`` in order of the few-valued ``first`` columns, then of ``id`` (0..n-1, with
+    gaps); as ``prefix_sum``, at most ``blocks`` blocks for each value of ``first``."""
+    d = df.withColumn("_block", F.floor(F.col(id) / F.lit(max(1, -(-n // blocks)))))
+    totals = d.groupBy(*first, "_block").agg(F.sum(value).alias("_t"))
+    w = Window.orderBy(*first, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*first, "_block", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*first, "_block").orderBy(id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.join(F.broadcast(before), [*first, "_block"]).withColumn(out, F.sum(value).over(inner) + F.col("_before")).drop("_block", "_before")
+
+
 def csc_offsets(g: Graph) -> DataFrame:
     """``id, in_degree, in_end``: the end offset of each vertex's block of in-edges."""
     return prefix_sum(in_degree(g), g.nv, "in_degree", "in_end")

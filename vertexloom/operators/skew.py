@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key with more rows than this is split over several tasks.
 ROWS_PER_TASK = 1_000_000
-#: A table of at most this many (checked) narrow rows may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes, its known rows times its known width, may be broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -26,13 +26,13 @@ def domain(ids: DataFrame, key: str = "id") -> tuple[int, bool]:
     return top + 1, low == 0 and n == top + 1
 
 
-def is_member(ids: DataFrame, columns: list[str], df: DataFrame, key: str = "id") -> DataFrame:
+def is_member(ids: DataFrame, columns: list[str], df: DataFrame, key: str = "id", known: tuple[int, bool] | None = None) -> DataFrame:
     """Rows of ``df`` whose ``columns`` are all non-null and ids in ``ids``.
 
     Dense ids (0..n-1, checked) need no join: the test is a range filter that reaches the scan. Any other
-    set of ids is tested by one semi join per column.
+    set of ids is tested by one semi join per column. ``known`` is the ``domain`` of ids, if it was taken before.
     """
-    n, dense = domain(ids, key)
+    n, dense = known or domain(ids, key)
     if dense:
         return df.where(in_range(columns, n))
     for c in columns:
@@ -48,8 +48,8 @@ def in_range(columns: list[str], n: int) -> Column:
     return cond
 
 
-def valid_edges(edges: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("src", "dst", "weight")) -> DataFrame:
+def valid_edges(edges: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("src", "dst", "weight"), known: tuple[int, bool] | None = None) -> DataFrame:
     """The newest row of each edge_id, if both its end points are vertices: edge_id and ``columns``."""
     need = list(dict.fromkeys(("src", "dst", *columns)))
     newest = latest(edges, "edge_id", "loaded_at", need)
-    return is_member(vertices, ["src", "dst"], newest).select("edge_id", *columns)
+    return is_member(vertices, ["src", "dst"], newest, known=known).select("edge_id", *columns)

@@ -12,7 +12,7 @@ from vertexloom.graph import Graph
 from vertexloom.operators.degree import out_degree
 from vertexloom.operators.message import EdgeIndex
 from vertexloom.plans.iterate import Trace, pull_iterate, push_iterate
-from vertexloom.session import cut
+from vertexloom.session import discard, stored
 
 # Fixed values of the programs.
 PAGERANK_ALPHA = 0.15
@@ -33,10 +33,12 @@ def pagerank(g: Graph, num_iter: int = 10, alpha: float = PAGERANK_ALPHA, precis
         raise ValueError("num_iter must be positive")
     cast = {"double": "double", "float": "float"}[precision]
     deg = F.greatest(F.col("deg"), F.lit(1))
-    start = cut(out_degree(g).select("id", F.col("out_degree").alias("deg")))
+    start = stored(out_degree(g).select("id", F.col("out_degree").alias("deg")))
     state = start.select("id", (F.lit(1.0) / F.lit(g.nv) / deg).cast(cast).cast("double").alias("value"), "deg")
     step = (F.lit((1 - alpha) / max(1, g.nv)) + F.lit(alpha) * F.coalesce("msg", F.lit(0.0))) / deg
     out = pull_iterate(g, state, F.col("value"), "sum", {"value": step.cast(cast).cast("double")}, num_iter, every)
+    if num_iter > 1:
+        discard(start)
     return out.select("id", "value", (F.col("value") * deg).alias("rank"), F.col("deg").alias("out_degree"))
 
 
@@ -75,7 +77,7 @@ def colfilter(g: Graph, num_iter: int = 10, k: int = CF_K, lam: float = CF_LAMBD
         state = g.vertices.select("id", *[F.lit(sqrt(1 / k) if init is None else init).alias(c) for c in own])
     else:
         state = start.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(own)])
-    index = EdgeIndex(g, keep=num_iter > 1)
+    index, last = EdgeIndex(g, k, keep=num_iter > 1), None
     for i in range(num_iter):
         u = state.select("id", *[F.col(a).alias(b) for a, b in zip(own, src)])
         p = state.select("id", *[F.col(a).alias(b) for a, b in zip(own, dst)])
@@ -84,6 +86,8 @@ def colfilter(g: Graph, num_iter: int = 10, k: int = CF_K, lam: float = CF_LAMBD
         both = state.join(sums, "id", "left")
         state = both.select("id", *axpy(own, src, lam, gamma))
         if num_iter > 1:
-            state = cut(state)
+            state = stored(state)
+            discard(last)
+            last = state
     index.release()
     return state.select("id", F.array(*own).alias("v"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from fractions import Fraction
 from math import sqrt
 
@@ -12,11 +11,11 @@ from pyspark.sql import functions as F
 from vertexloom import fixtures as fx
 from vertexloom.graph import Graph
 from vertexloom.operators import check, degree, hotkeys, index, partition
-from vertexloom.operators.message import EdgeIndex, changed, combine, gather_step
+from vertexloom.operators.message import EdgeIndex, changed, combine, gather_step, semi_load
 from vertexloom.operators.valid import domain, latest, valid_edges
 from vertexloom.plans.iterate import Trace, pull_iterate
 from vertexloom.plans.programs import CF_K, colfilter, components, pagerank, sssp
-from vertexloom.session import cut, scratch
+from vertexloom.session import scratch, stored
 from vertexloom.sources import csc, edgelist
 
 PARTS = 4
@@ -25,8 +24,8 @@ K_CF = 3
 
 
 def _kept(g: Graph) -> Graph:
-    """The graph with its edges cut and cached in columns, as a query reads them several times."""
-    return Graph(cut(g.edges).persist(), g.nv, g.weighted)
+    """The graph with its edges written, as a query reads them several times."""
+    return Graph(stored(g.edges), g.nv, g.weighted)
 
 
 def _purchase(s, d):
@@ -41,20 +40,23 @@ def _chain(s, d):
     return _kept(fx.order_chain(s, d))
 
 
-def _file(s: SparkSession, name: str) -> str:
-    path = csc.local_path(scratch(s, name))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
-
-
 def q_csc_roundtrip(s, d, weighted: bool) -> DataFrame:
     g = fx.purchase(s, d)
     g = g if weighted else Graph(g.edges.select("src", "dst"), g.nv)
-    path = _file(s, "graph")
+    path = scratch(s, "graph")
     csc.write_csc(g, path, degree_trailer=not weighted)
     return csc.read_csc(s, path, weighted, edges_per_partition=100_000).edges
 
 
+def q_convert(s, d) -> DataFrame:
+    """Text edges to a binary file with the out-degree trailer, read back: edges, and the trailer's degrees."""
+    g = fx.order_chain(s, d)
+    text, path = scratch(s, "edges"), scratch(s, "graph")
+    edgelist.write_edge_list(g, text)
+    edgelist.convert(s, text, path, g.nv)
+    return csc.read_trailer(s, path).where("out_degree > 0").join(csc.read_csc(s, path).edges, F.col("id") == F.col("src")).select("src", "dst", "out_degree")
+
+
 def q_edgelist(s, d) -> DataFrame:
     path = scratch(s, "edges")
     g = fx.order_chain(s, d)
@@ -68,11 +70,44 @@ def q_gather_sum(s, d) -> DataFrame:
 
 
 def q_scatter(s, d, how: str) -> DataFrame:
-    """One push round from the customers whose id is divisible by 7."""
+    """The push round in which the customers are the frontier: their smaller ids plus one reach the parts."""
     g = _purchase(s, d)
-    front = g.vertices.where(F.col("id") % 7 == 0).select("id", F.col("id").alias("label"))
-    sent = EdgeIndex(g).gather(front).select("dst", (F.col("label") + 1).alias("msg"))
-    return combine(sent, how)
+    front = g.vertices.select("id", F.col("id").alias("label"))
+    index = EdgeIndex(g, by_source=True)
+    return combine(index.scatter(front).select("dst", (F.col("label") + 1).alias("msg")), how)
+
+
+def q_semi_load(s, d) -> DataFrame:
+    """The states each part has to load: of the distinct sources of its edges."""
+    g = _sym(s, d)
+    state = g.vertices.select("id", (F.col("id") * 3).alias("x"))
+    edges = partition.with_part(g.edges, partition.edge_balanced_bounds(g, PARTS), "dst")
+    one = lambda p: semi_load(edges.where(F.col("part") == p), state).select(F.lit(p).alias("part"), "id", "x")
+    out = one(0)
+    for p in range(1, PARTS):
+        out = out.unionByName(one(p))
+    return out
+
+
+def q_bad_endpoints(s, d) -> DataFrame:
+    """Rows of the delivered edges whose end points the loader would refuse, of how many."""
+    e = fx.table(s, d, "weighted_edges")
+    n = domain(fx.table(s, d, "vertices"))[0]
+    return degree.endpoint_report(Graph(e, n))
+
+
+def q_memory(s, d) -> DataFrame:
+    g = _sym(s, d)
+    bounds = partition.edge_balanced_bounds(g, PARTS)
+    partition.check_bounds(bounds, g.nv)
+    return degree.memory_report(g, bounds, "pagerank").unionByName(degree.memory_report(g, bounds, "sssp"))
+
+
+def q_trace_parts(s, d) -> DataFrame:
+    g = _sym(s, d)
+    t = Trace(partition.edge_balanced_bounds(g, PARTS))
+    sssp(g, 0, trace=t)
+    return t.part_frame(s).select("iter", "part", "row_left", "active", "mode")
 
 
 def q_changed(s, d) -> DataFrame:
@@ -93,14 +128,22 @@ def q_trace(s, d, run) -> DataFrame:
     return t.frame(s).select("iter", "active", "mode")
 
 
-def q_check_sssp(s, d) -> DataFrame:
+def q_check_sssp(s, d, planted: bool) -> DataFrame:
+    """The check of the hops, and of hops that are wrong for two of three vertices."""
     g = _sym(s, d)
-    return check.check_sssp(g, sssp(g, 0), partition.edge_balanced_bounds(g, PARTS))
+    hops = sssp(g, 0)
+    if planted:
+        hops = hops.withColumn("hops", F.col("hops") + F.col("id") % 3)
+    return check.check_sssp(g, hops, partition.edge_balanced_bounds(g, PARTS))
 
 
-def q_check_components(s, d) -> DataFrame:
+def q_check_components(s, d, planted: bool) -> DataFrame:
+    """The check of the labels, and of labels that are wrong for four of five vertices."""
     g = _chain(s, d)
-    return check.check_components(g, components(g), partition.edge_balanced_bounds(g, PARTS))
+    labels = components(g)
+    if planted:
+        labels = labels.withColumn("label", F.col("label") - F.col("id") % 5)
+    return check.check_components(g, labels, partition.edge_balanced_bounds(g, PARTS))
 
 
 def q_colfilter(s, d) -> DataFrame:
@@ -113,10 +156,10 @@ def q_colfilter(s, d) -> DataFrame:
 def q_p1_found(s, d) -> DataFrame:
     """Keys that hold a large share: dst with 1 % of the valid edges, degrees with 10 % of the vertices."""
     vertices = fx.table(s, d, "vertices")
-    n, dense = domain(vertices)
-    edges = valid_edges(fx.table(s, d, "weighted_edges"), vertices, ("dst",))
-    by_dst = cut(hotkeys.dense_key_aggregate(edges, "dst", domain=n if dense else None))
-    by_degree = cut(hotkeys.dense_key_aggregate(latest(vertices, "id", "loaded_at", ["degree"]), "degree"))
+    n, dense = known = domain(vertices)
+    edges = valid_edges(fx.table(s, d, "weighted_edges"), vertices, ("dst",), known)
+    by_dst = stored(hotkeys.dense_key_aggregate(edges, "dst", domain=n if dense else None))
+    by_degree = stored(hotkeys.dense_key_aggregate(latest(vertices, "id", "loaded_at", ["degree"]), "degree"))
     a = hotkeys.heavy_keys(by_dst, "dst", Fraction(1, 100)).select(F.lit("dst").alias("key_field"), F.col("dst").alias("key_id"))
     b = hotkeys.heavy_keys(by_degree, "degree", Fraction(1, 10)).select(F.lit("degree").alias("key_field"), F.col("degree").alias("key_id"))
     return a.unionByName(b)
@@ -125,8 +168,8 @@ def q_p1_found(s, d) -> DataFrame:
 def q_p1_dst(s, d) -> DataFrame:
     """Every dst's count of valid edges and aggregates of their weights."""
     vertices = fx.table(s, d, "vertices")
-    n, dense = domain(vertices)
-    edges = valid_edges(fx.table(s, d, "weighted_edges"), vertices, ("dst", "weight"))
+    n, dense = known = domain(vertices)
+    edges = valid_edges(fx.table(s, d, "weighted_edges"), vertices, ("dst", "weight"), known)
     return hotkeys.dense_key_aggregate(edges, "dst", "weight", domain=n if dense else None)
 
 
@@ -166,8 +209,17 @@ def queries() -> dict:
         "components_symmetric": lambda s, d: components(_purchase(s, d), symmetrize=True),
         "frontier_trace_sssp": lambda s, d: q_trace(s, d, lambda t: sssp(_sym(s, d), 0, trace=t)),
         "frontier_trace_cc": lambda s, d: q_trace(s, d, lambda t: components(_sym(s, d), trace=t)),
-        "check_sssp": q_check_sssp,
-        "check_components": q_check_components,
+        "frontier_trace_by_part": q_trace_parts,
+        "check_sssp": lambda s, d: q_check_sssp(s, d, False),
+        "check_components": lambda s, d: q_check_components(s, d, False),
+        "check_sssp_planted": lambda s, d: q_check_sssp(s, d, True),
+        "check_components_planted": lambda s, d: q_check_components(s, d, True),
+        "semi_join_load": q_semi_load,
+        "bad_endpoints": q_bad_endpoints,
+        "transposed_edges": lambda s, d: index.transpose(fx.purchase(s, d)),
+        "csr_offsets_by_part": lambda s, d: partition.csr_offsets_by_part(g := _sym(s, d), partition.edge_balanced_bounds(g, PARTS)),
+        "converted_edges": q_convert,
+        "memory_report": q_memory,
         "colfilter": q_colfilter,
         "graph_stats": lambda s, d: degree.graph_stats(fx.purchase(s, d)),
         "p1_found": q_p1_found,
@@ -265,6 +317,17 @@ SELECT CAST(iter AS INT) AS iter, CAST(active AS BIGINT) AS active,
     )
 
 
+def _trace_parts_sql(bound: int = 12) -> str:
+    """As the trace, by part: a vertex changes in the round of its hop."""
+    return (
+        _hops_sql(_bounds_sql(PARTS), bound)
+        + """, a AS (SELECT hops - 1 AS iter, count(*) AS active FROM hop WHERE hops > 0 AND hops < (SELECT nv FROM n) GROUP BY 1),
+z AS (SELECT iter, active FROM a UNION ALL SELECT coalesce(max(iter), -1) + 1, 0 FROM a),
+w AS (SELECT iter, CASE WHEN coalesce(lag(active) OVER (ORDER BY iter), 1) > (SELECT nv // 16 FROM n) THEN 'pull' ELSE 'push' END AS mode FROM z)
+SELECT CAST(iter AS INT) AS iter, part, row_left, (SELECT count(*) FROM hop WHERE hops - 1 = w.iter AND id BETWEEN row_left AND row_right) AS active, mode FROM w CROSS JOIN bounds"""
+    )
+
+
 def _trace_cc_sql(rounds: int = 8) -> str:
     steps = "".join(
         f""",
@@ -281,11 +344,17 @@ FROM z WHERE before IS NULL OR before > 0"""
 
 
 def oracle_sql() -> dict:
-    scatter = "WITH " + _PURCHASE + " SELECT dst AS id, {}(src + 1) AS msg FROM e WHERE src % 7 = 0 GROUP BY dst"
+    scatter = "WITH " + _PURCHASE + " SELECT dst AS id, {}(src + 1) AS msg FROM e GROUP BY dst"
     bounds = "WITH RECURSIVE " + _bounds_sql(PARTS)
     part = "JOIN bounds ON e.dst BETWEEN row_left AND row_right"
     hop_sym = _hops_sql(_SYM, 12)
-    passed = f"SELECT CAST(p AS INT) AS part, CAST(0 AS BIGINT) AS mistakes, true AS passed FROM (SELECT unnest(range({PARTS})) AS p)"
+    nine = lambda g: _bounds_sql(PARTS).replace(_SYM, g)
+    hop_checked = _hops_sql(nine(_SYM).replace("WITH RECURSIVE ", ""), 12)
+    label_checked = _labels_sql(nine(_CHAIN))
+    mistakes = """, planted AS (SELECT id, {value} AS x FROM {labels})
+SELECT part, CAST(count(*) FILTER (WHERE {wrong}) AS BIGINT) AS mistakes, count(*) FILTER (WHERE {wrong}) = 0 AS passed
+FROM bounds LEFT JOIN e ON e.dst BETWEEN row_left AND row_right LEFT JOIN planted a ON a.id = e.src LEFT JOIN planted b ON b.id = e.dst GROUP BY part"""
+    wrong_hops, wrong_labels = "a.x <> (SELECT nv FROM n) AND b.x > a.x + 1", "b.x < a.x"
     return {
         "out_degree": f"WITH {_PURCHASE}, d AS ({_degrees('src')}) SELECT id, c AS out_degree FROM d",
         "in_degree": f"WITH {_PURCHASE}, d AS ({_degrees('dst')}) SELECT id, c AS in_degree FROM d",
@@ -315,8 +384,25 @@ def oracle_sql() -> dict:
         "components_symmetric": _labels_sql(_SYM) + "SELECT id, label FROM r",
         "frontier_trace_sssp": _trace_sssp_sql(),
         "frontier_trace_cc": _trace_cc_sql(),
-        "check_sssp": passed,
-        "check_components": passed,
+        "frontier_trace_by_part": _trace_parts_sql(),
+        "check_sssp": hop_checked + mistakes.format(value="hops", labels="hop", wrong=wrong_hops),
+        "check_components": label_checked + mistakes.format(value="label", labels="r", wrong=wrong_labels),
+        "check_sssp_planted": hop_checked + mistakes.format(value="hops + id % 3", labels="hop", wrong=wrong_hops),
+        "check_components_planted": label_checked + mistakes.format(value="label - id % 5", labels="r", wrong=wrong_labels),
+        "semi_join_load": f"{bounds} SELECT DISTINCT part, src AS id, src * 3 AS x FROM e {part}",
+        "bad_endpoints": """WITH n AS (SELECT max(id) + 1 AS nv FROM vertices), b AS (SELECT
+  coalesce(src BETWEEN 0 AND (SELECT nv FROM n) - 1, false) AS s, coalesce(dst BETWEEN 0 AND (SELECT nv FROM n) - 1, false) AS d FROM weighted_edges)
+SELECT count(*) AS n_edges, count(*) FILTER (WHERE NOT s) AS bad_src, count(*) FILTER (WHERE NOT d) AS bad_dst, count(*) FILTER (WHERE NOT (s AND d)) AS bad_edges FROM b""",
+        "transposed_edges": f"WITH {_PURCHASE} SELECT src, dst, weight FROM e",
+        "csr_offsets_by_part": f"""{bounds}, local AS (SELECT part, src, count(*) AS out_degree FROM e {part} GROUP BY part, src)
+SELECT part, src, out_degree, CAST(sum(out_degree) OVER (ORDER BY part, src) AS BIGINT) AS out_end FROM local""",
+        "converted_edges": f"WITH {_CHAIN}, d AS ({_degrees('src')}) SELECT src, dst, c AS out_degree FROM e JOIN d ON d.id = src",
+        "memory_report": f"""{bounds}, m AS (SELECT part, count(*) AS edges, any_value(row_right) - any_value(row_left) + 1 AS vertices FROM e {part} GROUP BY part),
+q AS (SELECT sum(8 + 4 * ((vertices - 1) // 16 + 100)) AS queue, sum(edges) AS ne, max(edges) AS most FROM m),
+b AS (SELECT 'pagerank' AS program, part, edges, vertices, edges * 8 + vertices * 24 + nv * 4 AS part_bytes, ne * 4 + nv * 8 + nv * 8 + nv * 4 AS shared_bytes FROM m, q, n
+UNION ALL SELECT 'sssp', part, edges, vertices, edges * 12 + vertices * 16 + nv * 12 + 2 * queue, ne * 4 + nv * 8 + nv * 8 + 2 * queue + nv * 8 + most * 4 FROM m, q, n)
+SELECT program, part, edges, vertices, CAST(part_bytes AS BIGINT) AS part_bytes, CAST(max(part_bytes) OVER (PARTITION BY program) AS BIGINT) AS max_part_bytes, CAST(shared_bytes AS BIGINT) AS shared_bytes,
+  CAST(max(part_bytes) OVER (PARTITION BY program) AS BIGINT) // 1048576 + 1 AS part_mb, CAST(shared_bytes AS BIGINT) // 1048576 + 1 AS shared_mb FROM b""",
         "colfilter": _cf_sql(K_CF),
         "graph_stats": f"""WITH {_PURCHASE}, m AS (SELECT count(*) AS ne FROM e) SELECT nv, ne, CAST(12 + 8 * nv + 8 * ne AS BIGINT) AS file_bytes,
   CAST(16 * nv AS BIGINT) AS state_bytes, CAST(20 * ne AS BIGINT) AS edge_bytes FROM n CROSS JOIN m""",

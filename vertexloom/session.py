@@ -9,8 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -51,19 +50,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage.
+    """Checkpoint in the shared folder and forget the lineage; partitions and their order stay as they are.
 
-    A checkpointed frame still carries the constraints its plan had, and over many rounds of a loop their
-    inference costs more than the work; so the frame is made anew from the checkpointed rows.
+    Only for what needs that order; tables and the states of loops are ``stored``.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, measures: Observation | None = None, **metrics: Column) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage.
+
+    The table is columnar, compressed and pruned on reading, and its plan is a plain scan. ``metrics``
+    are aggregates of the written rows, taken in ``measures`` by the same job. The table is there until
+    ``discard`` or the end of the application.
     """
     spark = df.sparkSession
-    shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    try:
-        rows = kept._jdf.queryExecution().toRdd()
-        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
-    except (AttributeError, TypeError, Py4JError):
-        return kept
+    path = scratch(spark, "table")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if not getattr(spark.sparkContext, "_vertexloom_cleanup", False):
+        atexit.register(_clean, spark)
+        spark.sparkContext._vertexloom_cleanup = True
+    (df.observe(measures, *[c.alias(k) for k, c in metrics.items()]) if measures is not None else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the tables behind frames made by ``stored`` (others are left alone)."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            remove(df.sparkSession, path)
+            _WRITTEN.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+#: Tables written by ``stored`` that are still there, by application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
+def _clean(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: local tables only
+        for path in (p for paths in _WRITTEN.values() for p in paths if p.startswith("file:")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        return
+    for path in _WRITTEN.get(spark.sparkContext.applicationId, ()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the folder is the cluster's to clean, too
+            return
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -21,6 +21,7 @@ from vertexloom.graph import Graph
 from vertexloom.operators.degree import out_degree
 from vertexloom.operators.index import csc_offsets
 from vertexloom.session import cut, ship
+from vertexloom.sources.paths import arrow_file, hadoop, is_local, local_path, make_parent
 
 HEADER = 12
 #: Edges of one input partition, and of one Arrow batch.
@@ -28,16 +29,10 @@ EDGES_PER_PARTITION = 8_000_000
 EDGES_PER_BATCH = 262_144
 
 
-def local_path(path: str) -> str:
-    return path[len("file://") :] if path.startswith("file://") else path
-
-
 def read_header(path: str, weighted: bool = False) -> tuple[int, int]:
     """(nv, ne); ValueError if the size of the file fits neither layout."""
-    path = local_path(path)
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        head = f.read(HEADER)
+    with arrow_file(path) as f:
+        size, head = f.size(), f.read(HEADER)
     if len(head) < HEADER:
         raise ValueError(f"{path}: no header")
     nv, ne = struct.unpack("<IQ", head)
@@ -62,7 +57,7 @@ class CscReader(DataSourceReader):
     """
 
     def __init__(self, options: dict):
-        self.path = local_path(options["path"])
+        self.path = options["path"]
         self.weighted = str(options.get("weighted", "false")).lower() == "true"
         self.per = int(options.get("edgesPerPartition", EDGES_PER_PARTITION))
         self.nv, self.ne = read_header(self.path, self.weighted)
@@ -72,7 +67,7 @@ class CscReader(DataSourceReader):
 
     def read(self, part):
         names = ["src", "dst"] + (["weight"] if self.weighted else [])
-        with open(self.path, "rb") as f:
+        with arrow_file(self.path) as f:
 
             def items(kind: str, at: int, n: int) -> np.ndarray:
                 f.seek(at)
@@ -129,10 +124,30 @@ def read_csc(spark: SparkSession, path: str, weighted: bool = False, edges_per_p
     ship(spark)
     spark.dataSource.register(CscSource)
     nv, _ = read_header(path, weighted)
-    edges = spark.read.format("csc").option("weighted", str(weighted).lower()).option("edgesPerPartition", edges_per_partition).load(local_path(path))
+    edges = spark.read.format("csc").option("weighted", str(weighted).lower()).option("edgesPerPartition", edges_per_partition).load(path)
     return Graph.from_edges(edges, nv, weighted, check=check)
 
 
+def read_trailer(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
+    """``id, out_degree`` from the trailer; ValueError if the file has none."""
+    ship(spark)
+    nv, ne = read_header(path, weighted)
+    at = HEADER + 8 * nv + (8 if weighted else 4) * ne
+    with arrow_file(path) as f:
+        if f.size() != at + 4 * nv:
+            raise ValueError(f"{path}: no trailer")
+
+    def read(batches):
+        with arrow_file(path) as f:
+            for b in batches:  # ids of a range come in order, without gaps
+                if b.num_rows:
+                    f.seek(at + 4 * b.column(0)[0].as_py())
+                    got = np.frombuffer(f.read(4 * b.num_rows), "<u4").astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["id", "out_degree"])
+
+    return spark.range(nv).mapInArrow(read, "id bigint, out_degree bigint")
+
+
 def _write_slices(df: DataFrame, path: str, pieces: list[tuple[str, str, int]]) -> None:
     """Each partition of ``df`` (cut, in file order) writes its rows of each (column, dtype, file offset).
 
@@ -163,27 +178,67 @@ def _write_slices(df: DataFrame, path: str, pieces: list[tuple[str, str, int]])
     df.mapInArrow(write, "n bigint").agg(F.sum("n")).first()
 
 
+def _chunks(df: DataFrame, pieces: list[str], kind: str) -> list[DataFrame]:
+    """For each column of ``pieces`` the rows' bytes, a few megabytes a row, in the order of ``df``."""
+
+    def pack(name):
+        def run(batches):
+            for b in batches:
+                data = b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary())], names=["bytes"])
+
+        return run
+
+    return [df.select(name).mapInArrow(pack(name), "bytes binary") for name in pieces]
+
+
+def _write_stream(spark: SparkSession, path: str, head: bytes, parts: list[DataFrame]) -> None:
+    """One file through Hadoop's stream, for file systems in which tasks cannot write at an offset of one file:
+    the driver holds a partition of bytes at a time and keeps none."""
+    system, p = hadoop(spark, path)
+    out = system.create(p, True)
+    try:
+        out.write(bytearray(head))
+        for df in parts:
+            for row in df.toLocalIterator():
+                out.write(bytearray(row[0]))
+    finally:
+        out.close()
+
+
 def write_csc(g: Graph, path: str, degree_trailer: bool = False) -> None:
     """Write the graph; edges are sorted by (dst, src[, weight]) by a distributed range sort.
 
-    ``path`` is a file all executors can open (a shared POSIX file system). Tasks write their slices in
-    place; nothing passes through the driver but a count for each partition.
+    On a POSIX file system that all executors share, tasks write their slices in place and nothing passes
+    through the driver but a count for each partition. On any other Hadoop file system (which appends only)
+    the slices stream through the driver, partition after partition.
     """
-    path = local_path(path)
     if g.nv >= 2**32:
         raise ValueError("the format holds at most 2**32 - 1 vertices")
-    ship(g.spark)
+    spark = g.spark
+    ship(spark)
     edges = cut(g.edges.orderBy("dst", "src", *(["weight"] if g.weighted else [])))
     ne = edges.count()
     width = 8 if g.weighted else 4
     body = HEADER + 8 * g.nv + width * ne
+    sources = HEADER + 8 * g.nv
+    head = struct.pack("<IQ", g.nv, ne)
+    laid = Graph(edges, g.nv)
+    ends = csc_offsets(laid).select("id", "in_end").orderBy("id") if g.nv else None
+    degrees = out_degree(laid).orderBy("id") if g.nv and degree_trailer else None
+    make_parent(spark, path)
+    if not is_local(path):
+        parts = _chunks(cut(ends), ["in_end"], "<u8") if g.nv else []
+        parts += _chunks(edges, ["src"], "<u4") + (_chunks(edges, ["weight"], "<i4") if g.weighted else [])
+        _write_stream(spark, path, head, parts + (_chunks(cut(degrees), ["out_degree"], "<u4") if degrees is not None else []))
+        return
+    path = local_path(path)
     with open(path, "wb") as f:
-        f.write(struct.pack("<IQ", g.nv, ne))
+        f.write(head)
         f.truncate(body + (4 * g.nv if degree_trailer else 0))
-    sources = HEADER + 8 * g.nv
     if ne:
         _write_slices(edges, path, [("src", "<u4", sources)] + ([("weight", "<i4", sources + 4 * ne)] if g.weighted else []))
     if g.nv:
-        _write_slices(cut(csc_offsets(Graph(edges, g.nv)).select("id", "in_end").orderBy("id")), path, [("in_end", "<u8", HEADER)])
-        if degree_trailer:
-            _write_slices(cut(out_degree(Graph(edges, g.nv)).orderBy("id")), path, [("out_degree", "<u4", body)])
+        _write_slices(cut(ends), path, [("in_end", "<u8", HEADER)])
+    if degrees is not None:
+        _write_slices(cut(degrees), path, [("out_degree", "<u4", body)])
