@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexloom.llm import similar, stars, together, topn
+from vertexloom.llm import queries, similar, stars, together, topn
 
 
 def best(rows, n):
@@ -22,20 +23,38 @@ def test_top_n_with_a_hot_group_ties_and_repeats(spark):
     rows = [(1 if r.random() < 0.5 else r.randrange(200), r.randrange(900), r.randrange(-5, 30)) for _ in range(20_000)]
     rows += rows[:500] + [(None, 1, 1), (1, None, 1), (1, 1, None)]
     df = spark.createDataFrame(rows, "g long, i long, s int").withColumn("rank", F.lit("clash"))
-    for per_file, bytes_ in ((1_000, 2_000), (10**6, 10**6)):
-        got, report = topn.top_n(df, "g", "i", "s", 5, per_file, bytes_)
+    for per_file, per_group in ((1_000, 100), (10**6, 4_000)):
+        got, report = topn.top_n(df, "g", "i", "s", 5, per_file, per_group)
         assert {(x.g, x.i, x.s) for x in got.collect()} == best(rows, 5)
         assert got.where("rank > 5 or rank < 1").count() == 0
 
 
 def test_top_n_skips_row_groups(spark):
     df = spark.range(200_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), (F.col("id") * 7919 % 100_003).cast("double").alias("s"))
-    got, report = topn.top_n(df, "g", "i", "s", 3, row_group_bytes=50_000)
+    got, report = topn.top_n(df, "g", "i", "s", 3, rows_per_group=2_000)
     r = report.first()
     assert r.row_groups_read < r.row_groups / 2
     assert {(x.g, x.i, x.s) for x in got.collect()} == best([tuple(x) for x in df.collect()], 3)
 
 
+def test_top_n_skips_on_the_real_table(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    r = queries.q_p2_skipped(spark, sf).first()
+    assert r.row_groups_read < 0.8 * r.row_groups
+
+
+def test_top_n_where_files_are_handed_over(spark, monkeypatch):
+    monkeypatch.setattr(topn, "_opens", lambda name: False)
+    rows = [(i % 3, i, i * 7919 % 101) for i in range(5_000)]
+    got, report = topn.top_n(spark.createDataFrame(rows, "g long, i long, s int"), "g", "i", "s", 5, rows_per_group=200)
+    assert {(x.g, x.i, x.s) for x in got.collect()} == best(rows, 5)
+    assert {x["rank"] for x in got.collect()} == {1, 2, 3, 4, 5}
+    r = report.first()
+    assert r.row_groups_read < r.row_groups / 2
+
+
 def test_top_n_empty_nan_and_few(spark):
     none = spark.createDataFrame([], "g long, i long, s double")
     assert topn.top_n(none, "g", "i", "s")[0].count() == 0
@@ -81,8 +100,10 @@ def test_connect_empty(spark):
         stars.connect(spark.createDataFrame([], "src long, dst long"), label="any")
 
 
-@pytest.mark.parametrize("chunk,bound", [(1000, 10**6), (7, 10**6), (7, 0)])
-def test_pairs_in_ordinary_and_huge_baskets(spark, chunk, bound):
+@pytest.mark.parametrize("unit_pairs,bound,bundle", [(10**6, 10**6, 10**6), (49, 10**6, 10**6), (49, 0, 60)])
+def test_pairs_in_ordinary_and_huge_baskets(spark, unit_pairs, bound, bundle, monkeypatch):
+    monkeypatch.setattr(together, "BUNDLE_PAIRS", bundle)
+    monkeypatch.setattr(together, "GATHER", 50)
     r = random.Random(3)
     rows = [(b, r.randrange(30)) for b in range(60) for _ in range(r.randrange(1, 6))] + [(99, i) for i in range(40)]
     rows += rows[:50]
@@ -92,7 +113,7 @@ def test_pairs_in_ordinary_and_huge_baskets(spark, chunk, bound):
         held[b].add(i)
     both = Counter(p for s in held.values() for p in combinations(sorted(s), 2))
     one = Counter(i for s in held.values() for i in s)
-    got = together.associations(df, chunk=chunk, broadcast_rows=bound).collect()
+    got = together.associations(df, unit_pairs=unit_pairs, broadcast_rows=bound).collect()
     assert {(x.item_a, x.item_b): x.n_both for x in got} == dict(both)
     for x in got:
         assert (x.n_a, x.n_b, x.n_baskets) == (one[x.item_a], one[x.item_b], len(held))

@@ -1,4 +1,5 @@
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -27,16 +28,18 @@ needs_files = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocab
 
 
 @needs_files
-@pytest.mark.parametrize("table_bytes", [64_000_000, 0])
-def test_ids_and_round_trip(spark, table_bytes):
+@pytest.mark.parametrize("per_batch", [10_000, 3])
+def test_ids_and_round_trip(spark, per_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("word", F.lit(1))
-    enc = tokens.encode(df, table_bytes=table_bytes, chunk_bytes=2_000).cache()
+    enc = tokens.encode(df).cache()
     got = {r.doc_id: r.ids for r in enc.collect()}
     assert got == dict(enumerate(reference_ids(TEXTS)))
     back = {r.doc_id: r.text for r in tokens.decode(enc).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
-    n = tokens.encode(df, ("doc_id", "word"), only_counts=True, table_bytes=table_bytes)
+    n = tokens.encode(df, ("doc_id", "word"), only_counts=True)
     assert {r.doc_id: r.n_tokens for r in n.collect()} == {i: len(x) for i, x in got.items()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @needs_files
@@ -44,9 +47,8 @@ def test_repeated_rows_null_keys_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert Counter(map(str, tokens.encode(df).collect())).most_common(1)[0][1] == 2
     assert tokens.encode(df).count() == 3
-    for limit in (10**6, -1):
-        assert tokens.encode(df.limit(0), table_bytes=limit).count() == 0
-        assert [r.ids for r in tokens.encode(df.select("doc_id", F.lit(None).cast("string").alias("text")), table_bytes=limit).collect()] == [[], [], []]
+    assert tokens.encode(df.limit(0)).count() == 0
+    assert [r.ids for r in tokens.encode(df.select("doc_id", F.lit(None).cast("string").alias("text"))).collect()] == [[], [], []]
 
 
 @needs_files
@@ -103,6 +105,38 @@ def test_mixture_reaches_its_shares(spark):
     assert capped["tiny"].mixture_tokens == 3 * capped["tiny"].available_tokens
 
 
+def test_quotas_in_tokens_are_kept_to_a_block(spark):
+    r = random.Random(5)
+    rows = [(i, "abc"[i % 3], 50_000 if i % 97 == 0 else r.randrange(1, 900)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 3), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    for total in (None, 1_000_000):
+        m = mixture.mix(df, targets, total, block_tokens=1024, bucket_docs=100)
+        for s in m.shares.where("not capped").collect():
+            assert 0 <= s.quota_blocks * 1024 - s.mixture_tokens < 1024
+        shards = {x.source: x.n for x in m.rows.groupBy("source").agg(F.count_distinct("shard").alias("n")).collect()}
+        assert set(shards.values()) == {8}
+    other = mixture.mix(df, targets, None, seed=7).rows.where("source = 'b'").select("doc_id")
+    assert {x[0] for x in other.collect()} != {x[0] for x in mixture.mix(df, targets).rows.where("source = 'b'").select("doc_id").collect()}
+
+
+def test_a_hundred_billion_blocks(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 120, "a").otherwise("b").alias("source"), F.lit(10**12).alias("n_tokens"))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    m = mixture.mix(df, targets, block_tokens=1000)
+    s = {x.source: x for x in m.shares.collect()}
+    assert s["a"].quota_blocks == s["b"].quota_blocks == 12 * 10**10
+    assert s["a"].mixture_tokens == s["b"].mixture_tokens == 12 * 10**13
+
+
+def test_a_tiny_source_does_not_empty_the_mixture(spark):
+    df = sizes(spark, [("big", 1000, 100), ("tiny", 1, 10)])
+    targets = spark.createDataFrame([("big", 0.95, 1), ("tiny", 0.05, 5)], "source string, target_share double, max_repeats int")
+    s = {x.source: x for x in mixture.mix(df, targets, block_tokens=10).shares.collect()}
+    assert s["tiny"].capped and s["tiny"].binding and s["tiny"].mixture_tokens == 50
+    assert s["big"].mixture_tokens == pytest.approx(9_950, abs=100)
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1), (None, 0.5, None), ("b", None, 2)], "source string, target_share double, max_repeats int")
     m = mixture.mix(sizes(spark, [("zzz", 1, 5)]), targets)

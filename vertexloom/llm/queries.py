@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom import fixtures as fx
 from vertexloom.llm import mixture, safety, similar, stars, together, tokens, topn
 from vertexloom.operators.valid import is_member, latest, valid_edges
-from vertexloom.session import cut
+from vertexloom.session import stored
 
 N_BEST = 5
 DIMS = 20
@@ -73,6 +75,14 @@ def q_p5_pairs(s, d) -> DataFrame:
     return _associations(s, d).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
+def q_p5_huge(s, d) -> DataFrame:
+    """How many baskets were split into chunks, and the pairs there are."""
+    rows = is_member(fx.table(s, d, "vertices"), ["src"], fx.table(s, d, "basket_edges").select("src", "dst"))
+    held = together.baskets(is_member(fx.table(s, d, "items"), ["dst"], rows), "src", "dst")
+    pairs, n = together.pair_counts(held)
+    return pairs.agg(F.lit(n).cast("bigint").alias("n_huge"), F.count("*").alias("n_pairs"), F.sum("n").alias("n_counted"))
+
+
 def q_p6_ids(s, d) -> DataFrame:
     return tokens.encode(fx.table(s, d, "documents"))
 
@@ -83,7 +93,7 @@ def q_p6_decoded(s, d) -> DataFrame:
 
 def _mixture(s, d) -> mixture.Mixture:
     docs = fx.table(s, d, "documents").select("doc_id", "source", "text")
-    sizes = cut(tokens.encode(docs, ("doc_id", "source"), only_counts=True))
+    sizes = stored(tokens.encode(docs, ("doc_id", "source"), only_counts=True))
     return mixture.mix(sizes, fx.table(s, d, "mix_targets"))
 
 
@@ -95,6 +105,12 @@ def q_p7_shares(s, d) -> DataFrame:
     return _mixture(s, d).shares
 
 
+def q_p7_quotas(s, d) -> DataFrame:
+    """The apportionment alone, of documents measured in code points (a column), so that SQL can count the seats too."""
+    sizes = fx.table(s, d, "documents").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+    return mixture.mix(sizes, fx.table(s, d, "mix_targets")).shares.select("source", "n_documents", "available_tokens", "quota_blocks", "capped")
+
+
 def _scored(s, d) -> DataFrame:
     return safety.score_documents(fx.table(s, d, "documents"), ["doc_id", "source"])
 
@@ -122,10 +138,12 @@ def queries() -> dict:
         "p4_group_sizes": q_p4_sizes,
         "p5_found": q_p5_found,
         "p5_pairs": q_p5_pairs,
+        "p5_split_baskets": q_p5_huge,
         "p6_ids": q_p6_ids,
         "p6_decoded": q_p6_decoded,
         "p7_mixture": q_p7_mixture,
         "p7_shares": q_p7_shares,
+        "p7_quotas": q_p7_quotas,
         "p8_found": q_p8_found,
         "p8_scores": q_p8_scores,
         "p8_rates": q_p8_rates,
@@ -163,5 +181,15 @@ SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM top W
         "p4_group_sizes": f"WITH RECURSIVE {_LINKS} SELECT label, count(*) AS n FROM r GROUP BY label",
         "p5_found": f"WITH {_BASKETS} SELECT item_a, item_b FROM q WHERE n_both >= 5 AND n_both * 1000 >= n_baskets * 5 AND n_both * n_baskets >= 3 * n_a * n_b",
         "p5_pairs": f"WITH {_BASKETS} SELECT *, round(n_both::DOUBLE * n_baskets / (n_a * n_b), 6) AS lift FROM q",
+        "p5_split_baskets": f"""WITH {_BASKETS}, b AS (SELECT src, count(*) AS c FROM held GROUP BY src) SELECT (SELECT count(*) FROM b WHERE c > {isqrt(together.UNIT_PAIRS)}) AS n_huge,
+  count(*) AS n_pairs, CAST(sum(n_both) AS BIGINT) AS n_counted FROM p""",
+        "p7_quotas": rf"""WITH named AS (SELECT n_chars, lower(regexp_replace(regexp_replace(source, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[\s_\-./]+', '-', 'g')) AS source FROM documents WHERE n_chars > 0),
+t AS (SELECT m.source, target_share AS u, max_repeats AS r, count(n_chars) AS n_documents, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS t FROM mix_targets m LEFT JOIN named n ON n.source = m.source GROUP BY ALL),
+w AS (SELECT sum(u) AS w, sum(t) AS there FROM t WHERE t > 0),
+total AS (SELECT greatest(CAST(floor(min(t * r / (u / w))) AS BIGINT), CAST(floor({mixture.LEAST_FILL} * any_value(there)) AS BIGINT)) // {mixture.BLOCK_TOKENS} AS seats FROM t, w WHERE t > 0),
+c AS (SELECT source, u, (t * r + {mixture.BLOCK_TOKENS - 1}) // {mixture.BLOCK_TOKENS} AS cap FROM t WHERE t > 0),
+q AS (SELECT source, n, row_number() OVER (ORDER BY u / (2 * n + 1) DESC, source) AS k FROM (SELECT source, u, unnest(range(CAST(cap AS BIGINT))) AS n FROM c)),
+s AS (SELECT source, count(*) AS quota FROM q, total WHERE k <= seats GROUP BY source)
+SELECT t.source, n_documents, t AS available_tokens, coalesce(quota, 0) AS quota_blocks, coalesce(quota = cap, false) AS capped FROM t LEFT JOIN s USING (source) LEFT JOIN c USING (source)""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

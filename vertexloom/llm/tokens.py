@@ -1,8 +1,9 @@
 """Encoding and decoding a corpus with a public byte-level BPE vocabulary, by a table of distinct words.
 
-Words are split in Spark by the vocabulary's pattern. Each distinct word is encoded once; the ids are
-joined back to the words of each document in their order. Encoding a word alone gives the ids it has in
-any text, as merges never cross the pattern's pieces and every piece is one piece by itself as well.
+Words are split in Spark by the vocabulary's pattern, once. Each chunk of documents keeps its words as codes of
+its own small dictionary; the dictionaries' rows meet by word, where each distinct word is encoded once, and
+the ids go back to their chunk and, by position, into its documents. Encoding a word alone gives the ids it
+has in any text, as merges never cross the pattern's pieces and every piece is one piece by itself as well.
 """
 
 from __future__ import annotations
@@ -15,14 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut, ship
+from vertexloom.session import ship, stored
 
 #: Default vocabulary: ranks of byte_bpe_50k. The path is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: A word table of at most so many bytes (measured) is sent to every worker whole; a larger one is joined.
-TABLE_BYTES = 64_000_000
-#: Bytes of text in one group of documents when the table is joined.
-CHUNK_BYTES = 32_000_000
 
 # The vocabulary's splitting pattern, with white space spelt out (Unicode White_Space), since
 # the \s of Java means ASCII only.
@@ -57,109 +54,103 @@ class Vocabulary:
         return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks(), special_tokens={}).encode_ordinary
 
 
-def word_table(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """``word, ids`` of every distinct word of the corpus, cut.
+def _coded(src: DataFrame, held: list[str], words_at: str) -> DataFrame:
+    """Two kinds of rows, written: of each document ``chunk``, the held columns and ``codes`` of its words; of each
+    distinct word of a chunk ``chunk, code, word``. A chunk is one Arrow batch, so its size is bounded by the
+    session's limits for these."""
+    kinds = dict(src.dtypes)
+    schema = "chunk bigint, " + "".join(f"`{h}` {kinds[h]}, " for h in held) + "codes array<int>, code int, word string"
+    names = ["chunk", *held, "codes", "code", "word"]
 
-    A document sends each of its words once, a task each word once; so a frequent word is no hot key.
-    """
-    distinct = docs.select(F.explode(F.array_distinct(words(text))).alias("word")).distinct()
+    def run(batches):
+        from pyspark import TaskContext
 
-    def encode(batches):
-        enc = vocabulary.encoder()
-        for b in batches:
-            ids = [enc(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(batches):
+            lists = b.column(b.num_columns - 1)
+            bounds = lists.offsets.to_numpy()
+            coded = pc.dictionary_encode(lists.flatten())
+            codes = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), coded.indices)
+            own, n = coded.dictionary, len(coded.dictionary)
+            chunk = lambda m, k=k: pa.array(np.full(m, first + k))
+            yield pa.RecordBatch.from_arrays([chunk(b.num_rows), *b.columns[:-1], codes, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.string())], names=names)
+            if n:
+                empty = [pa.nulls(n, c.type) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([chunk(n), *empty, pa.nulls(n, codes.type), pa.array(np.arange(n, dtype=np.int32)), own.cast(pa.string())], names=names)
 
-    return cut(distinct.mapInArrow(encode, "word string, ids array<int>"))
+    return stored(src.select(*held, words_at).mapInArrow(run, schema))
 
 
-class _Table:
-    """Words and their ids as flat arrays."""
+def encode_words(asked: DataFrame, vocabulary: Vocabulary, only_counts: bool = False) -> DataFrame:
+    """``chunk, code, ids`` (or ``n``, their number) for rows ``chunk, code, word``.
 
-    def __init__(self, word: pa.Array, ids: pa.Array):
-        self.word = word
-        offsets = ids.offsets.to_numpy().astype(np.int64)
-        self.ids = ids.flatten().to_numpy()
-        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
-        self.start, self.n = offsets[:-1], np.diff(offsets)
+    The rows of a word meet in one task, in order, which encodes the word once, however many chunks ask; a
+    frequent word has one row a chunk.
+    """
+    out, kind = ("n", "int") if only_counts else ("ids", "array<int>")
 
-    def encode(self, lists: pa.ListArray, only_counts: bool) -> pa.Array:
-        """ids (or their number) of each list of words: every distinct word of the batch is looked up
-        once, then ids are gathered by position."""
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        coded = pc.dictionary_encode(lists.flatten())
-        at = pc.index_in(coded.dictionary, value_set=self.word)
-        if at.null_count:
-            raise ValueError("a word is missing from the table")
-        w = at.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        n = self.n[w]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        if only_counts:
-            return pa.array(ends[bounds[1:]] - ends[bounds[:-1]], pa.int64())
-        flat = self.ids[np.repeat(self.start[w] - ends[:-1], n) + np.arange(ends[-1])]
-        return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat, pa.int32()))
+    def run(batches):
+        enc, last, last_ids = vocabulary.encoder(), None, []
+        for b in batches:
+            word = pc.dictionary_encode(b.column(2))
+            own = word.dictionary.to_pylist()
+            ids = [last_ids if w == last else enc(w) for w in own]
+            if own:
+                last, last_ids = own[-1], ids[-1]
+            table = pa.array([len(x) for x in ids], pa.int32()) if only_counts else pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table.take(word.indices)], names=["chunk", "code", out])
+
+    return asked.repartition("word").sortWithinPartitions("word").select("chunk", "code", "word").mapInArrow(run, f"chunk bigint, code int, {out} {kind}")
 
 
-def _combined(t: pa.Table) -> tuple[pa.Array, pa.Array]:
-    t = t.combine_chunks()
-    get = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
-    return get(t.column("word")), get(t.column("ids"))
+def _flat(column) -> pa.Array:
+    c = column.combine_chunks()
+    return c if isinstance(c, pa.Array) else c.chunk(0) if c.num_chunks else pa.array([], c.type)
 
 
-def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: Vocabulary | None = None, only_counts: bool = False, table_bytes: int = TABLE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: Vocabulary | None = None, only_counts: bool = False) -> DataFrame:
     """The ``keep`` columns and ``ids`` (or ``n_tokens``) of every row of ``docs``; null and empty texts
     have no ids.
 
-    Rows that agree in ``keep`` are rows of their own. The word table is measured: up to ``table_bytes``
-    it goes to every worker, and no document is shuffled. A larger one is joined: documents are hashed
-    into groups of about ``chunk_bytes`` of text, each group asks once for each word it has, and the
-    answers meet the group's documents by cogroup. Neither way shuffles word occurrences.
+    Rows that agree in ``keep`` are rows of their own. There is one way at every size: texts are split once and
+    never shuffled; what is shuffled are the distinct words of each chunk and the documents' codes, and nothing
+    but the vocabulary itself passes through the driver.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or Vocabulary(spark)
     held = [f"_k{i}" for i in range(len(keep))]
-    src = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held)], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    src = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held)], words(text).alias("_w"))
     out, kind = ("n_tokens", "bigint") if only_counts else ("ids", "array<int>")
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + f", {out} {kind}"
     names = [*keep, out]
-    table = word_table(src, vocabulary, "_t")
-    size = table.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 12), F.lit(0))).first()[0]
-    if size <= table_bytes:
-        got = table.toArrow()
-        sent = spark.sparkContext.broadcast(_combined(got))
-
-        def whole(batches):
-            t = _Table(*sent.value)
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], t.encode(b.column(b.num_columns - 1), only_counts)], names=names)
-
-        return src.select(*held, words("_t").alias("_w")).mapInArrow(whole, schema)
-
-    total = src.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk_bytes))
-    part = F.pmod(F.xxhash64(*held, "_t"), F.lit(chunks)).cast("int")
-    lengths = F.transform(words("_t"), lambda w: F.octet_length(w))
-    grouped = src.select(part.alias("chunk"), *held, "_t", lengths.alias("_n"))
-    asked = src.select(part.alias("chunk"), F.explode(F.array_distinct(words("_t"))).alias("word")).distinct()
-    answered = asked.join(table, "word").select("chunk", "word", "ids")
-
-    def meet(own: pa.Table, answers: pa.Table) -> pa.Table:
-        t = _Table(*_combined(answers.select(["word", "ids"])))
-        own = own.combine_chunks()
-        texts = own.column("_t").cast(pa.large_string()).combine_chunks()
-        n = own.column("_n").combine_chunks()
-        n = n.chunk(0) if isinstance(n, pa.ChunkedArray) else n
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        lens = n.flatten().to_numpy().astype(np.int64)
-        base = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=texts.offset + 1)[texts.offset]
-        bounds = base + np.concatenate([[0], np.cumsum(lens)])
-        cutw = pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(bounds.tobytes()), texts.buffers()[2]).cast(pa.string())
-        o = n.offsets.to_numpy()
-        lists = pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), cutw)
-        return pa.Table.from_arrays([*[own.column(h) for h in held], t.encode(lists, only_counts)], names=names)
-
-    return grouped.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(meet, schema)
+    coded = _coded(src, held, "_w")
+    answered = encode_words(coded.where("word IS NOT NULL").select("chunk", "code", "word"), vocabulary, only_counts)
+    own = coded.where("word IS NULL").select("chunk", *held, "codes")
+
+    def meet(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        lists, code, value = _flat(rows.column("codes")), _flat(answers.column("code")).to_numpy(), _flat(answers.column(2))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        at = lists.flatten().to_numpy()
+        bounds = bounds - bounds[0]
+        if len(code) != (at.max() + 1 if len(at) else 0):
+            raise ValueError("a word has no answer")
+        place = np.empty(len(code), np.int64)
+        place[code] = np.arange(len(code))
+        if only_counts:
+            each = value.to_numpy().astype(np.int64)
+        else:
+            offsets = value.offsets.to_numpy().astype(np.int64)
+            each, flat, start = np.diff(offsets), value.flatten().to_numpy(), offsets[:-1] - offsets[0]
+        n = each[place[at]] if len(at) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        if only_counts:
+            got = pa.array(ends[bounds[1:]] - ends[bounds[:-1]], pa.int64())
+        else:
+            ids = flat[np.repeat(start[place[at]] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
+            got = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
+        return pa.Table.from_arrays([*[rows.column(h) for h in held], got], names=names)
+
+    return own.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(meet, schema)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:

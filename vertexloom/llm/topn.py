@@ -1,9 +1,11 @@
 """The N highest-scoring items of every group, by skipping what the statistics rule out.
 
-Rows are clustered by group into Parquet files, within a file by (group, score descending, item), so a
-large group fills row groups of its own with falling maximum scores. A task reads the row groups of a file
-in descending order of maximum score and skips each whose maximum is strictly below the N-th score that
-every group it contains has by then: of a group with millions of items little more than N are read.
+Rows are clustered by group into Parquet files, within a file by (group, score descending, item), in row
+groups of few rows, so a group larger than a row group fills row groups of its own with falling maximum
+scores. A task reads the row groups of a file in descending order of maximum score and skips each whose
+maximum is strictly below the N-th score that every group it contains has by then: of a group with millions
+of items little more than N are read. A row group in which a group begins holds that group's best rows, so
+it is always read; what is skipped are the rows behind the first few of each group of several row groups.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.skew import hot_keys, salted
-from vertexloom.session import cut, remove, scratch, ship
+from vertexloom.operators.skew import salted
+from vertexloom.session import discard, remove, scratch, ship, stored
+from vertexloom.sources.paths import arrow_file
 
 #: Rows of one file, and the rows from which a group is spread over several.
 ROWS_PER_FILE = 1_000_000
-#: Bytes of a row group before encoding.
-ROW_GROUP_BYTES = 1_000_000
+#: Rows of a row group: the grain of what is skipped.
+ROWS_PER_GROUP = 2_048
+#: Rows from which a file is made for each shuffle partition.
+SPREAD_ROWS = 100_000
 
 
 def _best(group: np.ndarray, item: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
@@ -39,14 +44,12 @@ def _best(group: np.ndarray, item: np.ndarray, score: np.ndarray, n: int) -> np.
     return order[rank < n]
 
 
-def read_file(path: str, n: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int, int]:
-    """The best rows of every group in a file as arrays, and the numbers of row groups read and there."""
-    import pyarrow.fs as fs
+def read_file(source, n: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int, int]:
+    """The best rows of every group in an open file as arrays, and the numbers of row groups read and there."""
     import pyarrow.parquet as pq
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     out, state, read = [], {}, 0
-    with pq.ParquetFile(system.open_input_file(unquote(name))) as f:
+    with pq.ParquetFile(source) as f:
         meta = f.metadata
         stats = []
         for r in range(meta.num_row_groups):
@@ -80,16 +83,18 @@ def read_file(path: str, n: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.
     return out, read, len(stats)
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, rows_per_file: int = ROWS_PER_FILE, row_group_bytes: int = ROW_GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, rows_per_file: int = ROWS_PER_FILE, rows_per_group: int = ROWS_PER_GROUP) -> tuple[DataFrame, DataFrame]:
     """(``group, item, score, rank``; ``row_groups_read, row_groups, n_files``).
 
     group and item are integers, the score any number. Of an item that occurs several times in a group the
     greatest score counts; ties go to the smaller item. Rows with a null group, item or score, or a NaN
-    score, take no part. A group with fewer than ``n`` items gives all of them.
+    score, take no part. A group with fewer than ``n`` items gives all of them. An empty frame gives no rows.
 
     A group with more than ``rows_per_file`` rows is spread over several files by the hash of the item
     (so all rows of an item stay together); only such groups need a second, small step: n rows a file.
-    The clustered table lies in the shared folder until the result, cut, has been made of it.
+    The clustered table lies in the shared folder until the result, written too, has been made of it. Tasks
+    open its files themselves; where the Arrow library doesn't know the file system, Spark hands them over
+    whole and only the decoding is skipped.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -99,34 +104,62 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, rows_per
     wide = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double"
     src = df.select(F.col(group).cast("bigint").alias("g"), F.col(item).cast("bigint").alias("i"), F.col(score).cast(wide).alias("s"))
     src = src.where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL" + (" AND NOT isnan(s)" if wide == "double" else ""))
-    src = cut(src)
-    sizes = src.groupBy("g").agg(F.count("*").alias("_n"))
-    hot = cut(sizes.where(F.col("_n") > rows_per_file).select("g", F.ceil(F.col("_n") / rows_per_file).cast("int").alias("n_salts")))
-    rows = src.count()
-    files = max(1, -(-rows // rows_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > 100_000 else 1)
+    seen, hots = Observation(), Observation()
+    src = stored(src, seen, n=F.count("*"))
+    rows = seen.get["n"] or 0
+    sizes = src.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_file)
+    hot = stored(sizes.select("g", F.ceil(F.col("_n") / rows_per_file).cast("int").alias("n_salts")), hots, n=F.count("*"))
+    n_hot = hots.get["n"] or 0  # at most rows / rows_per_file
+    files = max(1, -(-rows // rows_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > SPREAD_ROWS else 1)
     path = scratch(spark, "topn")
-    laid = salted(src, "g", "i", hot).repartition(files, "g", "_salt").sortWithinPartitions("g", F.col("s").desc(), "i").select("g", "i", "s")
-    laid.write.option("parquet.block.size", row_group_bytes).option("compression", "snappy").parquet(path)
-    names = spark.read.parquet(path).inputFiles() if rows else []
-    schema = f"g bigint, i bigint, s {wide}, read int, there int"
+    spread = salted(src, "g", "i", hot) if n_hot else src.withColumn("_salt", F.lit(0))
+    laid = spread.repartition(files, "g", "_salt").sortWithinPartitions("g", F.col("s").desc(), "i").select("g", "i", "s")
+    laid.write.option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+    discard(src)
+    names = [unquote(x) for x in spark.read.schema(f"g bigint, i bigint, s {wide}").parquet(path).inputFiles()] if rows else []
+    schema = f"g bigint, i bigint, s {wide}, rank int, read int, there int"
+    columns = ["g", "i", "s", "rank", "read", "there"]
     s_type = pa.int64() if wide == "bigint" else pa.float64()
 
-    def run(batches):
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                parts, read, there = read_file(name, n)
-                g, i, s = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(3))
-                z = pa.nulls(len(g), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array(s, s_type), z, z], names=["g", "i", "s", "read", "there"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, s_type), pa.array([read], pa.int32()), pa.array([there], pa.int32())], names=["g", "i", "s", "read", "there"])
-
-    listed = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k int, f string")
-    tasks = max(1, min(len(names), 4 * files))
-    got = cut(listed.repartitionByRange(tasks, "k").select("f").mapInArrow(run, schema)) if names else spark.createDataFrame([], schema)
+    def run(opened):
+        def over(batches):
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    parts, read, there = read_file(opened(x), n)
+                    g, i, s = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(3))
+                    begins = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+                    rank = np.arange(1, len(g) + 1) - np.repeat(begins, np.diff(np.concatenate([begins, [len(g)]])))
+                    z, one = pa.nulls(len(g), pa.int32()), pa.nulls(1, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array(s, s_type), pa.array(rank, pa.int32()), z, z], names=columns)
+                    yield pa.RecordBatch.from_arrays([one, one, pa.nulls(1, s_type), pa.nulls(1, pa.int32()), pa.array([read], pa.int32()), pa.array([there], pa.int32())], names=columns)
+
+        return over
+
+    if not names:
+        got = spark.createDataFrame([], schema)
+    elif _opens(names[0]):
+        listed = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k int, f string")
+        got = stored(listed.repartitionByRange(min(len(names), 4 * files), "k").select("f").mapInArrow(run(arrow_file), schema))
+    else:
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content")
+        got = stored(whole.mapInArrow(run(pa.BufferReader), schema))
     remove(spark, path)
-    found = got.where("g IS NOT NULL").join(F.broadcast(hot), "g", "left")
+    found = got.where("g IS NOT NULL").select("g", "i", "s", "rank")
     w = Window.partitionBy("g").orderBy(F.col("s").desc(), "i")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    if n_hot:  # n rows a file of the spread groups, and of these alone, meet once more
+        few = F.broadcast(hot.select("g"))
+        again = found.join(few, "g", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+        ranked = found.join(few, "g", "left_anti").unionByName(again)
+    else:
+        ranked = found  # a file holds whole groups
     result = ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").cast(kind).alias(score), "rank")
     report = got.where("g IS NULL").agg(F.sum("read").alias("row_groups_read"), F.sum("there").alias("row_groups"), F.count("*").alias("n_files"))
     return result, report
+
+
+def _opens(name: str) -> bool:
+    try:
+        arrow_file(name).close()
+        return True
+    except OSError:
+        return False
