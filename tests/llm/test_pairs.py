@@ -167,3 +167,28 @@ def test_neighbors_of_few(spark):
     two = spark.createDataFrame([(1, [1.0] * 20), (2, [2.0] * 20)], df.schema)
     assert {(q.id, q.neighbor) for q in similar.most_similar(two).collect()} == {(1, 2), (2, 1)}
     assert similar.most_similar(two.limit(1)).count() == 0
+
+
+def test_recall_with_far_fewer_probes_than_clusters(spark):
+    r = np.random.default_rng(11)
+    centers = r.normal(size=(60, 20))
+    x = np.concatenate([centers[r.integers(0, 60, 3000)] + 0.35 * r.normal(size=(3000, 20)), r.normal(size=(1000, 20))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    want = similar.brute_force(np.arange(len(x)), x, 5)
+    got = defaultdict(set)
+    for q in similar.most_similar(df, 5, 20, queries=F.col("id") % 50 == 0, probes=24).collect():  # of 126 clusters
+        got[q.id].add(q.neighbor)
+    asked = range(0, len(x), 50)
+    assert sum(len(got[i] & {n for n, _ in want[i]}) for i in asked) / (5 * len(asked)) >= 0.9
+
+
+def test_clusters_in_two_levels_and_bundles(monkeypatch):
+    monkeypatch.setattr(similar, "FLAT_CLUSTERS", 8)
+    x = np.random.default_rng(3).normal(size=(2000, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = similar.fit_clusters(x, 60, 1)
+    assert 40 <= len(c) <= 80 and np.allclose(np.linalg.norm(c, axis=1), 1)
+    size = np.bincount(similar.nearest(x, c), minlength=len(c))
+    of, parts = similar.bundles(c, size, 200, 1)
+    held = np.bincount(of, weights=size)
+    assert len(held) == len(parts) and (held <= np.maximum(200, [size[of == i].max() for i in range(len(parts))])).all()

@@ -3,16 +3,20 @@
 A text is folded to a stream of letters: compatibility forms, accents, homoglyphs of other scripts and
 digits that stand for letters are undone, runs of a letter are shortened, and everything that isn't a
 letter is dropped. So a phrase is found whatever its case, alphabet, spacing, punctuation, line breaks
-and comment marks. Words with left-out letters are in the automaton as variants made by rule. A word with
-signs between its letters ("f*ck", "@sshole") is read as every word of the lexicon that it may stand for.
+and comment marks. A hit counts if it begins and ends where words do, in scripts that part words, and if no
+sentence ends within it. Insults with a left-out letter are in the automaton as variants made by rule. A word
+with signs between its letters ("f*ck", "m***n", "@sshole") is read as every word of the lexicon that it may
+stand for.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,14 +25,14 @@ from pyspark.sql import functions as F
 from vertexloom.llm import lexicon
 from vertexloom.session import ship
 
-#: Stands for a masked middle ("m***n") in folded text.
-MASK = "\x01"
 #: Stands for a word with masked letters in folded text; its readings are kept beside the text.
 SLOT = "\x02"
 #: Hits within so many letters of the stream count together.
 WINDOW = 120
 #: Strength from which a document is a case.
 THRESHOLD = 1.0
+#: Score from which a document is a case whatever the distance of its hits.
+DENSE = 2.0
 #: The score is strength summed over hits per so many letters (a shorter text counts as this long).
 PER_LETTERS = 1000
 
@@ -38,10 +42,9 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 SIGNS = {"$": "s", "€": "e", "£": "l", "ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ё": "е"}
 
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
-_HIDDEN = re.compile(r"(?<=[^\W\d_])\*{2,}(?=[^\W\d_])")
 _SIGN = re.compile(r"(?<=[^\W\d_])[$](?=[^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-_ASCII = {c: None for c in range(128) if not chr(c).isalpha() and chr(c) not in (MASK, SLOT)} | {ord(k): v for k, v in LEET.items()}
+_ASCII = {c: None for c in range(128) if not chr(c).isalpha() and chr(c) != SLOT} | {ord(k): v for k, v in LEET.items()}
 #: Signs written for letters within a word, and those that may also begin one.
 _LEAD = {"@": "a", "$": "s", "!": "i"}
 _SIGNS = r"*#%@!$&^?+~|•●×"
@@ -66,7 +69,7 @@ class _Letters(dict):
         return r
 
 
-_OTHER = _Letters(_ASCII | {ord(c): c for c in (MASK, SLOT)})
+_OTHER = _Letters(_ASCII | {ord(SLOT): SLOT})
 
 
 def fold(text: str) -> str:
@@ -74,26 +77,30 @@ def fold(text: str) -> str:
     return read(text)[0]
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain(word: str) -> str:
+    """The letter stream of a word of the lexicon, which hides no letters."""
+    return _RUN.sub(r"\1", unicodedata.normalize("NFKD", word).lower().translate(_OTHER))
+
+
 def read(text: str) -> tuple[str, list[tuple[str, ...]], str]:
     """The letter stream of a text, the readings of each SLOT in it, and the text before all but letters was dropped."""
     plain = text.isascii()
     if not plain:
         text = unicodedata.normalize("NFKD", text)
     text = text.lower()
-    if MASK in text or SLOT in text:
-        text = text.replace(MASK, "").replace(SLOT, "")
+    text = text.replace(SLOT, "")
     slots: list[tuple[str, ...]] = []
 
     def slot(m: re.Match) -> str:
-        r = _readings(m[0])
+        variable = m[0][0] == "$" and text[m.end() : m.end() + 1] in ("[", "=", "-", "(", ")", "{", ":")  # $name of code
+        r = () if variable else _readings(m[0])
         if not r:
             return m[0]
         slots.append(r)
         return SLOT
 
     text = _SIGNED.sub(slot, text)
-    if "**" in text:
-        text = _HIDDEN.sub(MASK, text)
     if "$" in text:
         text = _SIGN.sub("s", text)
     text = _NUMBER.sub(" ", text)
@@ -102,19 +109,20 @@ def read(text: str) -> tuple[str, list[tuple[str, ...]], str]:
 
 def _gaps(raw: str) -> list[int]:
     """What stands in front of each letter of the stream, and behind the last: 0 the letter before it, 1 something
-    else, 2 punctuation of sentences."""
-    letters, gaps, gap = [], [], 2
+    else, 2 punctuation of sentences, 3 the end of a sentence."""
+    letters, gaps, gap = [], [], 3
     for i, c in enumerate(raw):
         new = c.translate(_OTHER)
         if not new and not (c in "+/=" and raw[i - 1 : i].isalnum() and raw[i + 1 : i + 2].isalnum()):  # of base64
-            gap = max(gap, 2 if c in ".,;:!?。、" else 1)
+            ends = c in "。！？" or c in ".;!?" and (raw[i + 1 : i + 2].isspace() or i + 1 == len(raw))
+            gap = max(gap, 3 if ends else 2 if c in ".,;:!?、" else 1)
         for x in new:
             letters.append(x)
             gaps.append(gap)
             gap = 0
     for m in reversed([*_RUN.finditer("".join(letters))]):
         del gaps[m.start() + 1 : m.end()]
-    return [*gaps, 2]
+    return [*gaps, 3]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -145,41 +153,19 @@ def _readings(token: str) -> tuple[str, ...]:
 @lru_cache(maxsize=1)
 def _vocabulary() -> tuple[int, dict[str, list[str]]]:
     """Letters of the longest word, and the alphabetic words of three letters or more by their first letter."""
-    words = {fold(w) for e in entries() for w in e.phrase.split()}
+    words = {_plain(w) for w in {x for e in entries() for x in e.phrase.split()}}
     by: dict[str, list[str]] = {}
     for w in sorted(w for w in words if len(w) >= 3 and ord(w[0]) < 0x500):
         by.setdefault(w[0], []).append(w)
     return max(map(len, words)), by
 
 
-def _variants(word: str, short: bool) -> set[str]:
-    """A word as it stands, with one inner letter masked or left out (a short word only where the phrase
-    around it is long), with its middle masked, and with its double letters single."""
-    w = fold(word)
-    out = {w}
-    if ord(w[0]) < 0x500:  # alphabets, not ideographs
-        if len(w) >= 5 or short and len(w) >= 3:
-            out |= {w[:i] + w[i + 1 :] for i in range(1, len(w) - 1)}
-        if len(w) >= 3:
-            out.add(w[0] + MASK + w[-1])
-    out |= {re.sub(r"(.)\1", r"\1", x) for x in out}
-    return out
-
-
-def _phrase_variants(phrase: str, vary: list[str], whole: bool = False) -> set[str]:
-    """The phrase with at most one of the words in ``vary`` changed; as it is if it has to stand as whole words."""
-    words = phrase.split()
-    folded = [fold(w) for w in words]
-    out = {"".join(folded)}
-    if whole:
-        return {_RUN.sub(r"\1", v) for v in out}
-    long = len("".join(folded)) >= 14
-    for i, w in enumerate(words):
-        if w in vary:
-            for v in _variants(w, long):
-                out.add("".join([*folded[:i], v, *folded[i + 1 :]]))
-    out.add(re.sub(r"(.)\1", r"\1", "".join(folded)))
-    return {_RUN.sub(r"\1", v) for v in out if len(v) > 1}
+def _variants(word: str) -> set[str]:
+    """A folded word as it stands, with one inner letter left out, and with its double letters single."""
+    out = {word}
+    if len(word) >= 7 and ord(word[0]) < 0x500:  # alphabets, not ideographs
+        out |= {word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)}
+    return out | {re.sub(r"(.)\1", r"\1", x) for x in out if len(x) >= 6}
 
 
 def _list(text: str) -> list[str]:
@@ -188,52 +174,77 @@ def _list(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Entry:
-    phrase: str
+    phrase: str  # words parted by blanks
     weight: float
     category: str
-    vary: tuple[str, ...]
-    whole: bool = False
+    family: int  # the line it comes from
+    varied: frozenset[str] = frozenset()  # its forms beside the plain one
+
+
+_GROUP = re.compile(r"\(([^()\[\]]*)\)|\[([^()\[\]]*)\]")
+
 
+def _choices(frame: str) -> list[str]:
+    """The phrases of a frame: one of each (a|b), one or none of each [a|b]; inner ones first."""
+    m = _GROUP.search(frame)
+    if not m:
+        return [" ".join(frame.split())]
+    options = m[1].split("|") if m[1] is not None else ["", *m[2].split("|")]
+    return [x for o in options for x in _choices(frame[: m.start()] + o + frame[m.end() :])]
 
-def _masked(slot: str, word: str, before: list[str]) -> list[str]:
-    """The words of a phrase that get variants once ``slot`` holds ``word``."""
-    if slot == "{A}":
-        return [word]
-    if slot == "{I}":
-        return [*before, *word.split()]
-    return []
+
+@lru_cache(maxsize=1)
+def _slots() -> dict[str, list[tuple[str, bool]]]:
+    """The lists of words, and whether a word may be read with a letter missing."""
+    return {n: [(w.lstrip("~"), n in "IJK" and not w.startswith("~")) for w in _list(text)] for n, text in lexicon.LISTS.items()}
 
 
-def entries() -> list[Entry]:
-    slots = {"{A}": _list(lexicon.ADJECTIVES), "{I}": _list(lexicon.INSULTS), "{G}": _list(lexicon.GROUPS), "{S}": _list(lexicon.SLURS_IN_FRAMES), "{B}": _list(lexicon.SLURS)}
-    slots |= {"{%s}" % x: _list(getattr(lexicon, f"GROUPS_{x}")) for x in ("DE", "FR", "ES", "PT", "RU", "ZH", "JA")}
+def _filled(frame: str, weight: float, category: str, family: int) -> list[Entry]:
+    """The entries of a frame. Words of the lists of insults are also there with a letter missing."""
     out = []
-    for category, block in (("abusive", lexicon.ABUSIVE), ("hateful", lexicon.HATEFUL), ("sexual", lexicon.SEXUAL), ("light", lexicon.LIGHT)):
-        for line in block.strip().splitlines():
-            weight, phrase = line.split(" ", 1)
-            filled = [(phrase, phrase.split() if category != "light" else [])]
-            for slot, words in slots.items():
-                if slot in phrase:  # what fills the slot is what gets masked; a group's name isn't
-                    filled = [(p.replace(slot, w), _masked(slot, w, v)) for p, v in filled for w in words]
-            out += [Entry(p, float(weight.rstrip("w")), category, tuple(v), weight.endswith("w")) for p, v in filled]
+    for phrase in _choices(frame):
+        parts = re.split(r"\{(\w+)\}", phrase)
+        for words in product(*[_slots()[n] for n in parts[1::2]]):
+            whole = "".join(x for pair in zip(parts[::2], [*[w for w, _ in words], ""]) for x in pair)
+            varied = frozenset()
+            if words and words[-1][1]:
+                last = words[-1][0].split()
+                if whole.endswith(words[-1][0]):
+                    head = "".join(_plain(w) for w in whole.split()[: -1])
+                    varied = frozenset(head + v for v in _variants(_plain(last[-1])))
+            out.append(Entry(whole, weight, category, family, varied))
     return out
 
 
+@lru_cache(maxsize=1)
+def entries() -> tuple[Entry, ...]:
+    out, family = [], 0
+    for category, block in (("abusive", lexicon.ABUSIVE), ("hateful", lexicon.HATEFUL), ("sexual", lexicon.SEXUAL), ("light", lexicon.LIGHT), ("swearing", lexicon.SWEARING)):
+        for line in block.strip().splitlines():
+            weight, frame = line.split(" ", 1)
+            family += 1
+            out += _filled(frame, float(weight), category, family)
+    return tuple(out)
+
+
 @lru_cache(maxsize=1)
 def automaton():
     """Built once in each Python worker from the lexicon (its size is fixed by the lexicon)."""
     import ahocorasick
 
-    best: dict[str, tuple[float, str, str, bool]] = {}
+    best: dict[str, tuple[float, str, str, int]] = {}
     for e in entries():
-        for v in _phrase_variants(e.phrase, e.vary, e.whole):
-            if v not in best or (best[v][0], not best[v][3]) < (e.weight, not e.whole):
-                best[v] = (e.weight, e.category, e.phrase, e.whole)
-    for p in _list(lexicon.EXCEPTIONS):
-        best[fold(p)] = (0.0, "exception", p, False)
+        plain = _RUN.sub(r"\1", "".join(_plain(w) for w in e.phrase.split()))
+        single = re.sub(r"(.)\1", r"\1", plain) if len(plain) >= 9 else plain
+        for v in {plain, single, *e.varied}:
+            if len(v) > 1 and (v not in best or best[v][0] < e.weight):
+                best[v] = (e.weight, e.category, e.phrase, e.family)
+    for line in lexicon.EXCEPTIONS.strip().splitlines():
+        for e in _filled(line, 0.0, "exception", 0):
+            best[_plain(e.phrase)] = (0.0, "exception", e.phrase, 0)
     a = ahocorasick.Automaton()
-    for v, (w, c, p, whole) in best.items():
-        a.add_word(v, (len(v), w, c, p, whole))
+    for v, (w, c, p, family) in best.items():
+        a.add_word(v, (len(v), w, c, p, family))
     a.make_automaton()
     return a
 
@@ -243,7 +254,7 @@ def _longest() -> int:
     return max(map(len, automaton()))
 
 
-def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int, float, str, str, bool]]:
+def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int, float, str, str, int]]:
     """The hits that pass over at least one SLOT, in any of its readings."""
     a = automaton()
     readings = dict(zip((m.start() for m in re.finditer(SLOT, stream)), slots))
@@ -261,7 +272,7 @@ def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int
                     longer += c
                     if not a.match(longer):
                         break
-                    if (over or masked) and longer in a and (k == len(piece) or not a.get(longer)[4]):
+                    if (over or masked) and longer in a and k == len(piece):
                         out.add((start, i + 1, *a.get(longer)[1:]))
                 else:
                     todo.append((i + 1, longer, over or masked))
@@ -273,19 +284,27 @@ def _word_ends(stream: str, gaps: list[int], end: int) -> bool:
     return gaps[end] > 0 or stream[end] == "s" and gaps[end + 1] > 0
 
 
-def hits(text: str) -> tuple[list[tuple[int, int, float, str, str]], int]:
-    """(start, end, weight, category, phrase) of what counts, and the number of letters."""
+def _spaced(letter: str) -> bool:
+    """Whether the script of a letter parts words by blanks."""
+    return ord(letter) < 0x1100 or 0xAC00 <= ord(letter) <= 0xD7FF
+
+
+def hits(text: str) -> tuple[list[tuple[int, int, float, str, str, int]], int]:
+    """(start, end, weight, category, phrase, family) of what counts, and the number of letters."""
     stream, slots, raw = read(text)
     every = [(end - n + 1, end + 1, *rest) for end, (n, *rest) in automaton().iter(stream)]
     if slots:
         every += _over_slots(stream, slots)
-    gaps = _gaps(raw) if any(h[5] or not h[2] for h in every) else []
-    every = [h[:5] for h in every if not h[5] or gaps[h[0]] and gaps[h[1]]]
-    found = [h for h in every if h[2]]
-    for s in every:
-        if not s[2] and gaps[s[0]] and _word_ends(stream, gaps, s[1]) and max(gaps[s[0] + 1 : s[1]], default=0) < 2:
-            found = [h for h in found if not (s[0] <= h[0] and h[1] <= s[1])]
-    return found, len(stream)
+    if not every:
+        return [], len(stream)
+    gaps = _gaps(raw)
+    sentence = [0, *accumulate(g == 3 for g in gaps)]
+    worded = lambda h: (gaps[h[0]] or not _spaced(stream[h[0]])) and (not _spaced(stream[h[1] - 1]) or _word_ends(stream, gaps, h[1]))
+    every = [h for h in every if worded(h) and sentence[h[1]] == sentence[h[0] + 1]]
+    spared = sorted((h[0], h[1]) for h in every if not h[2] and max(gaps[h[0] + 1 : h[1]], default=0) < 2)
+    starts, reach = [a for a, _ in spared], [*accumulate((b for _, b in spared), max)]
+    inside = lambda h: (k := bisect_right(starts, h[0])) and reach[k - 1] >= h[1]  # noqa: E731 - some exception begins before it and ends behind it
+    return [h for h in every if h[2] and not inside(h)], len(stream)
 
 
 def rate(text: str) -> tuple[float, float, int, list[str]]:
@@ -293,28 +312,29 @@ def rate(text: str) -> tuple[float, float, int, list[str]]:
 
     strength is the greatest summed weight of different, not overlapping phrases within WINDOW letters:
     it does not fall with the length of the text. score is the summed weight of the non-overlapping hits
-    per PER_LETTERS letters.
+    but swearing per PER_LETTERS letters. Light phrases of one line of the lexicon count once in a window.
     """
     found, letters = hits(text)
     if not found:
         return 0.0, 0.0, 0, []
-    found.sort(key=lambda h: (-h[2], h[0] - h[1]))
-    kept: list[tuple[int, int, float, str, str]] = []
+    found.sort(key=lambda h: (-h[2], h[0] - h[1], h[0]))
+    taken, kept = bytearray(letters), []
     for h in found:
-        if not any(k[0] < h[1] and h[0] < k[1] for k in kept):
+        if taken.find(1, h[0], h[1]) < 0:
+            taken[h[0] : h[1]] = b"\x01" * (h[1] - h[0])
             kept.append(h)
     kept.sort()
     strength, low = 0.0, 0
     for i, h in enumerate(kept):
         while kept[low][0] < h[1] - WINDOW:
             low += 1
-        seen: dict[str, float] = {}
+        seen: dict = {}
         for k in kept[low : i + 1]:
-            if k[3] != "light" or not seen.get("light"):
-                seen["light" if k[3] == "light" else k[4]] = k[2]
+            key = k[5] if k[2] < 1 else k[4]
+            seen[key] = max(k[2], seen.get(key, 0.0))
         strength = max(strength, sum(seen.values()))
-    total = sum(h[2] for h in kept)
-    return total * PER_LETTERS / max(letters, PER_LETTERS), strength, len(kept), sorted({h[3] for h in kept if h[3] != "light"})
+    total = sum(h[2] for h in kept if h[3] != "swearing")
+    return total * PER_LETTERS / max(letters, PER_LETTERS), strength, len(kept), sorted({h[3] for h in kept if h[3] not in ("light", "swearing")})
 
 
 SCHEMA = "score double, strength double, n_hits int, categories array<string>"
@@ -345,7 +365,8 @@ def score_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
 
 
 def is_case() -> Column:
-    return F.col("strength") >= THRESHOLD
+    """Hits that are strong together within a short stretch, or many of them for the length of the text."""
+    return (F.col("strength") >= THRESHOLD) | (F.col("score") >= DENSE)
 
 
 def source_name(source: str = "source") -> Column:

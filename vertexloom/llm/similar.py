@@ -4,33 +4,42 @@ Vectors are assigned to clusters; the part of a vector beyond its cluster's cent
 and kept as one sign bit a dimension plus correction scalars. For a query the inner product with each
 vector of the clusters it probes is estimated from the packed bits, with a bound on the error; only the
 vectors whose bound says they may be among the best are compared exactly.
+
+Neighbouring clusters form bundles, the units of work: a query goes to each bundle it probes once, with the
+list of its clusters there. A bundle's vectors travel with their codes, as a few dozen dimensions weigh less
+than fetching the survivors of the bounds again by two joins would.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut, ship
+from vertexloom.session import discard, ship, stored
 
 #: Vectors the clusters are fitted on, at most (a documented sample; every vector is indexed), and clusters at most.
-SAMPLE = 65_536
-MAX_CLUSTERS = 16_384
-#: Clusters a query looks into.
-PROBES = 48
+SAMPLE = 262_144
+MAX_CLUSTERS = 65_536
+#: Clusters from which they are fitted in two levels, and vectors fitted on for each cluster.
+FLAT_CLUSTERS = 1_024
+PER_CLUSTER = 64
+#: Clusters a query looks into: so many times the square root of their number, at least so many.
+PROBES, LEAST_PROBES = 2.0, 32
 #: Bits of a code, a multiple of 64; vectors of fewer dimensions are rotated into so many.
 BITS = 64
 #: Multiple of the standard error within which an estimate is trusted.
 EPSILON = 1.9
 #: Bits to which a query's rotated items are rounded.
 QUERY_BITS = 4
-#: Vectors and queries of one unit of work.
-BASE_ROWS = 4_096
-QUERY_ROWS = 32_768
+#: Vectors and queries of one unit of work, at most, and estimates held at a time.
+BASE_ROWS = 65_536
+QUERY_ROWS = 131_072
+TILE = 4_000_000
 #: Tasks over which the members of a group of equal vectors are spread.
 COPY_SALTS = 32
 
@@ -48,12 +57,25 @@ def unit(lists: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_clusters(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
-    """Centres of spherical k-means from seeded members of the sample."""
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, TILE // len(c))
+    return np.concatenate([(x[i : i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
+
+
+def fit_clusters(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Centres of spherical k-means from seeded members of the sample; many are fitted in two levels, so that the
+    cost grows as k ** 1.5."""
     rng = np.random.default_rng(seed)
+    if len(x) > PER_CLUSTER * k:
+        x = x[rng.choice(len(x), size=PER_CLUSTER * k, replace=False)]
+    if k > FLAT_CLUSTERS:
+        coarse = fit_clusters(x, ceil(sqrt(k)), seed, rounds)
+        cell = nearest(x, coarse)
+        share = [max(1, round(k * n / len(x))) if n else 0 for n in np.bincount(cell, minlength=len(coarse))]
+        return np.concatenate([fit_clusters(x[cell == i], min(m, FLAT_CLUSTERS), seed + i, rounds) for i, m in enumerate(share) if m])
     c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        home = np.concatenate([(x[i : i + 8192] @ c.T).argmax(axis=1) for i in range(0, len(x), 8192)])
+        home = nearest(x, c)
         sums = np.stack([np.bincount(home, weights=x[:, d], minlength=len(c)) for d in range(x.shape[1])], axis=1)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
@@ -117,10 +139,11 @@ def estimate(codec: Codec, cluster: int, q: np.ndarray, code: np.ndarray, norm:
     return signed, slack
 
 
-def search_block(codec: Codec, cluster: int, k: int, floor: float, base: dict, queries: dict, step: int = 512):
+def search_block(codec: Codec, cluster: int, k: int, floor: float, base: dict, queries: dict):
     """(query id, id, similarity): up to ``k`` best of the block for each query, itself left out."""
     out = []
     ids, x = base["id"], base["x"]
+    step = max(16, min(512, TILE // max(1, len(ids))))
     along = x @ codec.centers[cluster]
     code = base["code"].view(np.uint64)
     for i in range(0, len(queries["id"]), step):
@@ -142,11 +165,51 @@ def search_block(codec: Codec, cluster: int, k: int, floor: float, base: dict, q
         r, c, sim = r[fine], c[fine], np.round(sim[fine], 12)
         order = np.lexsort((ids[c], -sim, r))
         r, c, sim = r[order], c[order], sim[order]
-        begins = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
-        rank = np.arange(len(r)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(r)]])))
-        keep = rank < k
+        keep = _rank(r) < k
         out.append((qid[r[keep]], ids[c[keep]], sim[keep]))
-    return [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, np.float64)[j]) for j in range(3)]
+    return _joined(out)
+
+
+def _rank(runs: np.ndarray) -> np.ndarray:
+    """Position of each item within its run of equal ones."""
+    begins = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, int)
+    return np.arange(len(runs)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(runs)]])))
+
+
+def _joined(parts: list) -> list[np.ndarray]:
+    return [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, (np.int64, np.int64, np.float64)[j]) for j in range(3)]
+
+
+def search_bundle(codec: Codec, k: int, floor: float, home: np.ndarray, base: dict, queries: dict, asks: np.ndarray, cluster: np.ndarray):
+    """As ``search_block`` over the clusters of a bundle: row ``asks[i]`` of the queries looks into ``cluster[i]``."""
+    by_home, by_cluster = np.argsort(home, kind="stable"), np.argsort(cluster, kind="stable")
+    home, asks, cluster = home[by_home], asks[by_cluster], cluster[by_cluster]
+    out = []
+    for c in np.unique(home):
+        a, b = np.searchsorted(home, [c, c + 1])
+        d, e = np.searchsorted(cluster, [c, c + 1])
+        if d < e:
+            rows, q = by_home[a:b], asks[d:e]
+            out.append(search_block(codec, int(c), k, floor, {n: v[rows] for n, v in base.items()}, {n: v[q] for n, v in queries.items()}))
+    q, other, sim = _joined(out)
+    order = np.lexsort((other, -sim, q))
+    order = order[_rank(q[order]) < k]
+    return q[order], other[order], sim[order]
+
+
+def bundles(centers: np.ndarray, size: np.ndarray, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each cluster and the hash parts of each bundle: neighbouring clusters with about ``rows`` vectors
+    together; a cluster with more is a bundle of several parts."""
+    cells = max(1, min(len(centers), int(size.sum() // max(1, rows))))
+    cell = nearest(centers, fit_clusters(centers, cells, seed, 4))
+    of, parts, held, last = np.zeros(len(centers), np.int32), [], rows + 1, -1
+    for c in np.argsort(cell, kind="stable"):
+        if cell[c] != last or held + size[c] > rows:
+            parts.append(0)
+            held = 0
+        of[c], last, held = len(parts) - 1, cell[c], held + size[c]
+        parts[-1] = max(1, ceil(held / max(rows, BASE_ROWS)))
+    return of, np.array(parts, np.int32)
 
 
 def _copies(vectors: DataFrame, k: int) -> DataFrame:
@@ -170,7 +233,7 @@ def most_similar(
     vector: str = "v",
     queries: Column | None = None,
     floor: float = -2.0,
-    probes: int = PROBES,
+    probes: int | None = None,
     clusters: int | None = None,
     bits: int = BITS,
     sample: int = SAMPLE,
@@ -185,7 +248,10 @@ def most_similar(
     large groups of copies cost nothing. Fewer than k + 1 usable rows give what there is; none give none.
 
     The clusters are fitted on at most ``sample`` vectors, picked by a hash of the id; every vector is
-    indexed. Centres and rotation (at most MAX_CLUSTERS rows) are what is sent to the workers. A cluster
+    indexed. ``probes`` defaults to PROBES times the square root of the number of clusters. With a floor a query
+    looks into every cluster that may hold a neighbour, however many: those whose centre is within the floor's
+    angle plus the cluster's own radius, and within twice that angle of the query's nearest centre. Centres,
+    rotation and radii (at most MAX_CLUSTERS rows) are what the driver holds and sends to the workers. A cluster
     or a set of queries that is too large for one unit is split, so memory is bounded whatever the skew.
     """
     spark = df.sparkSession
@@ -199,82 +265,115 @@ def most_similar(
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dims), len(x), [None, pa.py_buffer(x.tobytes())])
             yield pa.RecordBatch.from_arrays([b.column(0), raw.cast(pa.binary())], names=["id", "key"])
 
-    vectors = cut(src.mapInArrow(pack, "id bigint, key binary"))
-    groups = cut(_copies(vectors, k).withColumn("rep", F.col("ids")[0]))
-    n = groups.count()
-    empty = "id bigint, neighbor bigint, similarity double, rank int"
+    vectors = stored(src.mapInArrow(pack, "id bigint, key binary"))
+    seen = Observation()
+    # Equal directions: counted by a map-side combined aggregate, so a vector that many rows share is no burden.
+    equal = stored(vectors.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")), seen, n=F.count("*"), many=F.count_if(F.col("n") > 1))
+    n, copied = seen.get["n"] or 0, (seen.get["many"] or 0) > 0
     if n == 0:
-        return spark.createDataFrame([], empty)
-    share = max(1, n)
-    picked = groups if n <= sample else groups.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(share)) < sample)
+        return spark.createDataFrame([], "id bigint, neighbor bigint, similarity double, rank int")
+    picked = equal if n <= sample else equal.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(n)) < sample)
     rows = picked.select("key").limit(2 * sample).toArrow().column("key").to_pylist()
     x = np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, dims).astype(np.float64)
     clusters = clusters or min(MAX_CLUSTERS, max(1, int(2 * np.sqrt(n))), max(1, len(x) // 4))
     codec = Codec.fit(x, clusters, bits, seed)
+    clusters = len(codec.centers)
     sent = spark.sparkContext.broadcast(codec)
-    probes = min(probes, len(codec.centers))
-    # A neighbour within the angle t of a query has its centre within (the query's nearest angle + 2 t) of it,
-    # so with a floor farther clusters hold no neighbour.
-    reach = 2 * np.arccos(floor) + 1e-6 if floor > -1 else np.inf
+    probes = min(clusters, probes or max(LEAST_PROBES, ceil(PROBES * sqrt(clusters))))
+    vec = lambda col: np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
 
     def assign(batches):
         c = sent.value
         for b in batches:
-            v = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
-            near, use = np.zeros((len(v), probes), np.int32), np.ones((len(v), probes), bool)
-            for i in range(0, len(v), 2048):
-                sims = v[i : i + 2048] @ c.centers.T
-                top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-                top = np.take_along_axis(top, np.take_along_axis(sims, top, 1).argsort(axis=1)[:, ::-1], 1)
-                near[i : i + 2048] = top
-                angle = np.arccos(np.clip(np.take_along_axis(sims, top, 1), -1, 1))
-                use[i : i + 2048] = angle <= angle[:, :1] + reach
-            home = near[:, 0]
+            v = vec(b.column(1))
+            home = nearest(v, c.centers)
             code, norm, own = c.encode(v, home)
-            width = code.shape[1]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(v), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]), pa.int32()), pa.array(near[use], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(home, pa.int32()), raw, pa.array(norm), pa.array(own), lists],
-                names=["rep", "key", "home", "code", "norm", "own", "near"],
-            )
-
-    index = cut(groups.select("rep", "key").mapInArrow(assign, "rep bigint, key binary, home int, code binary, norm double, own double, near array<int>"))
-    if queries is None:
-        asking = index
-    else:  # a group asks if any of its members does
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(v), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
+            away = np.arccos(np.clip(np.einsum("ij,ij->i", v, c.centers[home]), -1, 1))
+            cols = [b.column(0), b.column(1), pa.array(home.astype(np.int32)), raw, pa.array(norm.astype(np.float32)), pa.array(own.astype(np.float32)), pa.array(away)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "key", "home", "code", "norm", "own", "away"])
+
+    index = stored(equal.select("rep", "key").mapInArrow(assign, "rep bigint, key binary, home int, code binary, norm float, own float, away double"))
+    size, radius = np.zeros(clusters, np.int64), np.full(clusters, -np.inf)
+    for r in index.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect():  # a row a cluster
+        size[r.home], radius[r.home] = r.n, r.far
+    angle = np.arccos(floor) + 1e-6 if floor > -1 else np.inf
+
+    def probe(v: np.ndarray, c: Codec):
+        """(row, cluster) of what the vectors look into."""
+        out, step = [], max(1, TILE // clusters)
+        for i in range(0, len(v), step):
+            sims = v[i : i + step] @ c.centers.T
+            if angle < np.inf:
+                away = np.arccos(np.clip(sims, -1, 1))
+                r, k_ = np.nonzero(away <= np.minimum(angle + radius + 1e-6, away.min(axis=1, keepdims=True) + 2 * angle))
+            else:
+                k_ = np.argpartition(-sims, probes - 1, axis=1)[:, :probes].ravel()
+                r = np.repeat(np.arange(len(sims)), probes)
+            out.append((r + i, k_))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    # Bundles, their hash parts, and, from the sample, the parts their queries are to be split into.
+    asking, n_asking = index, n
+    if queries is not None:  # a group asks if any of its members does
         askers = vectors.where(queries).select("key").distinct()
-        asking = index.join(askers, "key", "left_semi")
-    asked = asking.select("rep", "key", F.explode("near").alias("cluster"))
-    load = index.groupBy(F.col("home").alias("cluster")).agg(F.count("*").alias("nb")).join(asked.groupBy("cluster").agg(F.count("*").alias("nq")), "cluster")
-    load = cut(load.select(F.col("cluster").alias("unit"), F.ceil(F.col("nb") / BASE_ROWS).cast("int").alias("pb"), F.ceil(F.col("nq") / QUERY_ROWS).cast("int").alias("pq")))
-    units = F.broadcast(load)  # at most MAX_CLUSTERS rows
-    part = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
-    base = index.join(units, F.col("home") == F.col("unit")).select(F.col("unit").alias("cluster"), part("pb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("pq") - 1)).alias("q"), "rep", "key", "code", "norm", "own")
-    query = asked.join(units, F.col("cluster") == F.col("unit")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("b"), part("pq").alias("q"), F.col("rep").alias("asker"), F.col("key").alias("asks"))
+        asking = stored(index.join(askers, "key", "left_semi").select("rep", "key"))
+        n_asking = asking.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of, parts = bundles(codec.centers, size, int(min(BASE_ROWS, max(1024, n // (4 * tasks)))), seed)
+    some = x[np.random.default_rng(seed).choice(len(x), size=min(len(x), 8_192), replace=False)]
+    r, c = probe(some, codec)
+    pairs = np.unique(r.astype(np.int64) * len(parts) + of[c])
+    load = np.bincount(pairs % len(parts), minlength=len(parts)) * (1.3 * n_asking / len(some))
+    splits = np.maximum(1, np.ceil(load / QUERY_ROWS)).astype(np.int32)
+    layout = spark.sparkContext.broadcast((of, parts, splits))
+    units = spark.createDataFrame([(int(c), int(of[c]), int(parts[of[c]]), int(splits[of[c]])) for c in range(clusters) if size[c]], "home int, bundle int, pb int, pq int")
+    base = index.join(F.broadcast(units), "home").select(
+        "bundle", F.pmod(F.xxhash64("rep"), F.col("pb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("pq") - 1)).alias("q"), "rep", "key", "home", "code", "norm", "own"
+    )
+
+    def ask(batches):
+        of, parts, splits = layout.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, cluster = probe(vec(b.column(1)), sent.value)
+            order = np.lexsort((of[cluster], row))
+            row, cluster = row[order], cluster[order]
+            to = of[cluster]
+            begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (to[1:] != to[:-1])])) if len(row) else np.zeros(0, int)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begins, [len(row)]]), pa.int32()), pa.array(cluster, pa.int32()))
+            at = pa.array(row[begins])
+            cols = [pa.array(to[begins]), pa.array(parts[to[begins]]), pa.array(splits[to[begins]]), b.column(0).take(at), b.column(1).take(at), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["bundle", "pb", "pq", "asker", "asks", "clusters"])
+
+    asked = asking.select("rep", "key").mapInArrow(ask, "bundle int, pb int, pq int, asker bigint, asks binary, clusters array<int>")
+    query = asked.select(F.col("bundle").alias("to"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("b"), F.pmod(F.xxhash64("asker"), F.col("pq")).cast("int").alias("q"), "asker", "asks", "clusters")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        a = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
         if left.num_rows and right.num_rows:
-            vec = lambda col: np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
-            c = sent.value
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            b = {"id": left.column("rep").to_numpy(), "x": vec(left.column("key")), "code": code, "norm": left.column("norm").to_numpy(), "own": left.column("own").to_numpy()}
-            q = {"id": right.column("asker").to_numpy(), "x": vec(right.column("asks"))}
-            a = search_block(c, left.column("cluster")[0].as_py(), k, floor, b, q)
-        else:
-            a = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
+            base = {"id": left.column("rep").to_numpy(), "x": vec(left.column("key")), "code": code, "norm": left.column("norm").to_numpy().astype(np.float64), "own": left.column("own").to_numpy().astype(np.float64)}
+            lists = right.column("clusters").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            asks = np.repeat(np.arange(right.num_rows), np.diff(lists.offsets.to_numpy()))
+            a = search_bundle(sent.value, k, floor, left.column("home").to_numpy(), base, {"id": right.column("asker").to_numpy(), "x": vec(right.column("asks"))}, asks, lists.flatten().to_numpy())
         return pa.table({"rep": pa.array(a[0], pa.int64()), "other": pa.array(a[1], pa.int64()), "sim": pa.array(a[2], pa.float64())})
 
-    keys = ["cluster", "b", "q"]
-    found = base.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInArrow(search, "rep bigint, other bigint, sim double")
+    found = base.groupBy("bundle", "b", "q").cogroup(query.groupBy("to", "b", "q")).applyInArrow(search, "rep bigint, other bigint, sim double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("sim").desc(), "other"))).where(F.col("r") <= k)
+    if not copied:
+        discard(vectors)
+        return best.select(F.col("rep").alias("id"), F.col("other").alias("neighbor"), F.col("sim").alias("similarity"), F.col("r").alias("rank"))
     # Back to rows: the ids of the other groups, and of the own one at similarity 1.
+    groups = stored(_copies(vectors, k).withColumn("rep", F.col("ids")[0]))
     others = best.join(groups.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbor"), "sim")
     own = groups.where(F.col("n") > 1).select("rep", F.explode("ids").alias("neighbor"), F.lit(1.0).alias("sim"))
     if queries is not None:
         own = own.join(asking.select("rep"), "rep", "left_semi")
     ranked = others.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("sim").desc(), "neighbor"))).where(F.col("r") <= k + 1)
-    lists = cut(ranked.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("r", "neighbor", "sim"))).alias("near")))
+    lists = stored(ranked.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("r", "neighbor", "sim"))).alias("near")))
     alone = lists.join(groups.where("n = 1").select("rep"), "rep").select(F.col("rep").alias("id"), "near")
     many = groups.where("n > 1").join(lists, "rep").select("key", "near", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("s"))
     members = vectors.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int")).join(many, ["key", "s"]).select("id", "near")
