@@ -89,3 +89,12 @@ def test_salted_join_keeps_every_row(spark):
     j = a.join(b, (F.col("k") == F.col("key")) & (F.col("_salt") == F.col("_s")))
     assert j.count() == 3000 and j.where("y <> 2 * k").count() == 0
     assert a.groupBy("_salt").count().where("_salt > 0").count() == 6
+
+
+@pytest.mark.parametrize("dom", [None, 3])
+def test_large_sums_are_exact_or_raise(spark, dom):
+    big = 2**62
+    fits = spark.createDataFrame([(0, big), (0, big - 1), (1, -big), (1, -big), (2, big), (2, -big), (2, big)], "k long, x long").repartition(3)
+    assert {tuple(r)[0]: r["sum"] for r in hotkeys.dense_key_aggregate(fits, "k", "x", domain=dom).collect()} == {0: 2 * big - 1, 1: -2 * big, 2: big}
+    with pytest.raises(Exception, match="passes 64 bits"):
+        hotkeys.dense_key_aggregate(fits.withColumn("k", F.lit(0)).where("x > 0"), "k", "x", domain=dom).collect()

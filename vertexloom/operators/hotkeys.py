@@ -32,22 +32,34 @@ _I64 = np.iinfo(np.int64)
 
 
 class _Dense:
-    """Accumulators of one block: rows, and of the value rows, sum, least and greatest."""
+    """Accumulators of one block: rows, and of the value rows, sum, least and greatest.
 
-    __slots__ = ("n", "m", "s", "lo", "hi")
+    Sums are 64-bit while what was added can't pass 63 bits whatever the keys; from then on they are whole
+    numbers of any size, and one that doesn't fit in the end raises.
+    """
+
+    __slots__ = ("n", "m", "s", "lo", "hi", "room")
 
     def __init__(self, size: int, valued: bool):
         self.n = np.zeros(size, np.int64)
         if valued:
             self.m, self.s = np.zeros(size, np.int64), np.zeros(size, np.int64)
             self.lo, self.hi = np.full(size, _I64.max), np.full(size, _I64.min)
+            self.room = _I64.max
+
+    def plus(self, code: np.ndarray, v: np.ndarray) -> None:
+        if len(v):
+            self.room -= len(v) * max(abs(int(v.min())), abs(int(v.max())))
+        if self.room < 0 and self.s.dtype != object:
+            self.s = self.s.astype(object)
+        np.add.at(self.s, code, v.astype(object) if self.s.dtype == object else v)
 
     def add(self, code: np.ndarray, value: np.ndarray | None, known: np.ndarray | None) -> None:
         self.n += np.bincount(code, minlength=len(self.n))
         if value is not None:
             c, v = code[known], value[known]
             self.m += np.bincount(c, minlength=len(self.n))
-            np.add.at(self.s, c, v)
+            self.plus(c, v)
             np.minimum.at(self.lo, c, v)
             np.maximum.at(self.hi, c, v)
 
@@ -55,12 +67,19 @@ class _Dense:
         np.add.at(self.n, code, cols[0])
         if len(cols) > 1:
             np.add.at(self.m, code, cols[1])
-            np.add.at(self.s, code, cols[2])
+            self.plus(code, cols[2])
             np.minimum.at(self.lo, code, cols[3])
             np.maximum.at(self.hi, code, cols[4])
 
     def columns(self, at: np.ndarray, valued: bool) -> list[np.ndarray]:
-        return [self.n[at]] + ([self.m[at], self.s[at], self.lo[at], self.hi[at]] if valued else [])
+        if not valued:
+            return [self.n[at]]
+        sums = self.s[at]
+        if sums.dtype == object:
+            if any(not _I64.min <= x <= _I64.max for x in sums):
+                raise OverflowError("the sum of a key passes 64 bits")
+            sums = sums.astype(np.int64)
+        return [self.n[at], self.m[at], sums, self.lo[at], self.hi[at]]
 
 
 def _numpy(col, kind=np.int64) -> np.ndarray:
@@ -76,7 +95,7 @@ def dense_key_aggregate(df: DataFrame, key: str, value: str | None = None, domai
     entries are then placed in blocks by hash and encoded again there.
 
     Rows with a null key are left out. Null values count in n, not in n_values; a key without any value
-    has null sum, min and max. Sums are 64-bit and wrap beyond. An empty frame gives an empty result.
+    has null sum, min and max. A sum beyond 64 bits raises. An empty frame gives an empty result.
     A split is whatever partition ``df`` has (file splits, or a shuffle on another key): equal in size,
     whatever the keys.
     """
