@@ -192,3 +192,22 @@ def test_clusters_in_two_levels_and_bundles(monkeypatch):
     of, parts = similar.bundles(c, size, 200, 1)
     held = np.bincount(of, weights=size)
     assert len(held) == len(parts) and (held <= np.maximum(200, [size[of == i].max() for i in range(len(parts))])).all()
+
+
+def test_recall_on_the_real_table(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    rows = [(r.id, r.v) for r in queries._states(spark, sf).where(similar.usable("v", 20)).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for q in queries.q_p3_neighbors(spark, sf).collect():
+        got[q.id].add(q.neighbor)
+    found = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        sims = np.round(x @ x[i], 12)
+        sims[i] = -9
+        best = np.lexsort((ids, -sims))[:5]
+        found, total = found + len(got[ids[i]] & set(ids[best].tolist())), total + 5
+    assert total > 500 and found / total >= 0.9

@@ -250,7 +250,8 @@ def most_similar(
     The clusters are fitted on at most ``sample`` vectors, picked by a hash of the id; every vector is
     indexed. ``probes`` defaults to PROBES times the square root of the number of clusters. With a floor a query
     looks into every cluster that may hold a neighbour, however many: those whose centre is within the floor's
-    angle plus the cluster's own radius, and within twice that angle of the query's nearest centre. Centres,
+    angle plus the cluster's own radius, and whose side of the plane to the query's nearest centre is within that
+    angle. Centres,
     rotation and radii (at most MAX_CLUSTERS rows) are what the driver holds and sends to the workers. A cluster
     or a set of queries that is too large for one unit is split, so memory is bounded whatever the skew.
     """
@@ -298,6 +299,10 @@ def most_similar(
     for r in index.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect():  # a row a cluster
         size[r.home], radius[r.home] = r.n, r.far
     angle = np.arccos(floor) + 1e-6 if floor > -1 else np.inf
+    # A neighbour lies within the angle of the query and is nearer to its own centre than to the query's nearest one,
+    # that is on its side of the plane between the two; and no farther from its centre than the cluster's radius.
+    turn = np.sin(angle) if angle < np.pi / 2 else np.inf
+    reach = np.cos(np.minimum(angle + radius, np.pi)) - 1e-9 if angle < np.inf else None
 
     def probe(v: np.ndarray, c: Codec):
         """(row, cluster) of what the vectors look into."""
@@ -305,8 +310,10 @@ def most_similar(
         for i in range(0, len(v), step):
             sims = v[i : i + step] @ c.centers.T
             if angle < np.inf:
-                away = np.arccos(np.clip(sims, -1, 1))
-                r, k_ = np.nonzero(away <= np.minimum(angle + radius + 1e-6, away.min(axis=1, keepdims=True) + 2 * angle))
+                best = sims.argmax(axis=1)
+                apart = np.sqrt(np.maximum(2 - 2 * (c.centers[best] @ c.centers.T), 0))
+                side = sims[np.arange(len(sims)), best][:, None] - sims <= turn * apart + 1e-9
+                r, k_ = np.nonzero(side & (sims >= reach))
             else:
                 k_ = np.argpartition(-sims, probes - 1, axis=1)[:, :probes].ravel()
                 r = np.repeat(np.arange(len(sims)), probes)
@@ -320,7 +327,7 @@ def most_similar(
         asking = stored(index.join(askers, "key", "left_semi").select("rep", "key"))
         n_asking = asking.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of, parts = bundles(codec.centers, size, int(min(BASE_ROWS, max(1024, n // (4 * tasks)))), seed)
+    of, parts = bundles(codec.centers, size, int(min(BASE_ROWS, max(1024, n // (2 * tasks)))), seed)
     some = x[np.random.default_rng(seed).choice(len(x), size=min(len(x), 8_192), replace=False)]
     r, c = probe(some, codec)
     pairs = np.unique(r.astype(np.int64) * len(parts) + of[c])
