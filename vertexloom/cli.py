@@ -13,8 +13,8 @@ import time
 from pyspark.sql import SparkSession
 
 from vertexloom.operators.check import check_components, check_sssp
-from vertexloom.operators.degree import graph_stats
-from vertexloom.operators.partition import edge_balanced_bounds
+from vertexloom.operators.degree import graph_stats, memory_report
+from vertexloom.operators.partition import check_bounds, edge_balanced_bounds
 from vertexloom.plans.iterate import Trace
 from vertexloom.plans.programs import colfilter, components, pagerank, sssp
 from vertexloom.sources.csc import read_csc
@@ -52,9 +52,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         convert(spark, a.input, a.output, a.nv, a.ne)
         return 0
     g = read_csc(spark, a.file, weighted=a.program == "colfilter")
+    bounds = None
     if a.verbose:
         graph_stats(g, a.num_parts).show(truncate=False)
-    trace, failed, began = Trace(), 0, time.time()
+        bounds = edge_balanced_bounds(g, a.num_parts)
+        check_bounds(bounds, g.nv)
+        if a.program != "colfilter":  # there is no report for its vectors
+            memory_report(g, bounds, a.program).show(a.num_parts, truncate=False)
+    trace, failed, began = Trace(bounds), 0, time.time()
     if a.program == "pagerank":
         out = pagerank(g, a.num_iter)
     elif a.program == "colfilter":
@@ -71,9 +76,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     print(f"ELAPSED TIME = {time.time() - began:.3f} s")
     if a.verbose and trace.rows:
         trace.frame(spark).show(len(trace.rows), truncate=False)
+        trace.part_frame(spark).show(len(trace.part_rows), truncate=False)
     if a.check and a.program in ("sssp", "components"):
         run = check_sssp if a.program == "sssp" else check_components
-        for r in run(g, out, edge_balanced_bounds(g, a.num_parts)).orderBy("part").collect():
+        for r in run(g, out, bounds if bounds is not None else edge_balanced_bounds(g, a.num_parts)).orderBy("part").collect():
             print(f"[{'PASS' if r.passed else 'FAIL'}] part {r.part}: {r.mistakes} mistakes")
             failed += not r.passed
     return int(failed > 0)
