@@ -12,8 +12,8 @@ LISTS = {
     "I": """
 moron; idiot; imbecile; cretin; jackass; dumbass; dipshit; fuckwit; asshole; arsehole; asshat; scumbag; retard; dickhead; shithead; fuckface; motherfucker;
 cocksucker; wanker; tosser; ~twat; ~cunt; ~whore; ~slut; halfwit; nitwit; dimwit; numbskull; numpty; bonehead; blockhead; airhead; meathead; knobhead; bellend;
-douchebag; douche; dumbfuck; fucktard; libtard; lowlife; degenerate; imbecilic fool; simpleton; dunce; ~dolt; ~oaf; ~skank; ~slag; ~hoe; ~thot; shitbag; shitstain; shitface; asswipe;
-ignoramus; buffoon; pillock; pisshead; dickwad; jerkoff; ~wretch; brainless idiot; son of a bitch; sonofabitch; waste of space; waste of oxygen; waste of air; waste of skin
+douchebag; douche; dumbfuck; fucktard; libtard; lowlife; degenerate; imbecilic fool; simpleton; dunce; ~skank; shitbag; shitstain; shitface; asswipe;
+ignoramus; buffoon; pillock; pisshead; dickwad; jerkoff; brainless idiot; son of a bitch; sonofabitch; waste of space; waste of oxygen; waste of air; waste of skin
 """,
     # Words that insult after "you", or with an adjective, and mean other things elsewhere.
     "J": """

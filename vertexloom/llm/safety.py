@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate, product
@@ -107,22 +107,52 @@ def read(text: str) -> tuple[str, list[tuple[str, ...]], str]:
     return _RUN.sub(r"\1", text.translate(_ASCII if plain else _OTHER)), slots, text
 
 
-def _gaps(raw: str) -> list[int]:
-    """What stands in front of each letter of the stream, and behind the last: 0 the letter before it, 1 something
-    else, 2 punctuation of sentences, 3 the end of a sentence."""
-    letters, gaps, gap = [], [], 3
-    for i, c in enumerate(raw):
+class _Kinds(dict):
+    """str.translate table to the kinds of characters: L for each letter of the stream, w white space, = signs of
+    base64, e ends of sentences, p other punctuation, d what may be either, o anything else."""
+
+    def __missing__(self, code: int):
+        c = chr(code)
         new = c.translate(_OTHER)
-        if not new and not (c in "+/=" and raw[i - 1 : i].isalnum() and raw[i + 1 : i + 2].isalnum()):  # of base64
-            ends = c in "。！？" or c in ".;!?" and (raw[i + 1 : i + 2].isspace() or i + 1 == len(raw))
-            gap = max(gap, 3 if ends else 2 if c in ".,;:!?、" else 1)
-        for x in new:
-            letters.append(x)
-            gaps.append(gap)
-            gap = 0
-    for m in reversed([*_RUN.finditer("".join(letters))]):
-        del gaps[m.start() + 1 : m.end()]
-    return [*gaps, 3]
+        kind = "L" * len(new) if new else "w" if c.isspace() else "=" if c in "+/=" else "e" if c in "。！？" else "d" if c in ".;!?" else "p" if c in ",:、" else "o"
+        self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+_BASE64 = re.compile(r"(?<=L)=(?=L)")
+_SENTENCE = re.compile(r"d(?=w|$)")
+_BREAK = re.compile(r"[^L]+")
+
+
+class _Gaps:
+    """What stands in front of each letter of the stream, and behind the last: 0 the letter before it, 1 something
+    else, 2 punctuation of sentences, 3 the end of a sentence. Only what isn't 0 is kept."""
+
+    def __init__(self, raw: str):
+        kinds = _SENTENCE.sub("e", _BASE64.sub("", raw.translate(_KINDS)))
+        at, dropped = {0: 3}, 0
+        for m in _BREAK.finditer(kinds):
+            run = m[0]
+            at[m.start() - dropped] = 3 if "e" in run else 2 if "d" in run or "p" in run else 1
+            dropped += len(run)
+        n = len(kinds) - dropped
+        if any(_RUN.finditer(letters := raw.translate(_OTHER))):
+            gone = [k for m in _RUN.finditer(letters) for k in range(m.start() + 1, m.end())]
+            taken, at = set(gone), {k - bisect_right(gone, k - 1): v for k, v in at.items() if k not in set(gone)}
+            n -= len(taken)
+        at[0] = at[n] = 3
+        self.at = at
+        self.ends = sorted(k for k, v in at.items() if v == 3)
+        self.marks = sorted(k for k, v in at.items() if v >= 2)
+
+    def __getitem__(self, k: int) -> int:
+        return self.at.get(k, 0)
+
+    def within(self, where: list[int], start: int, end: int) -> bool:
+        """Whether one of ``where`` lies after ``start`` and before ``end``."""
+        k = bisect_right(where, start)
+        return k < len(where) and where[k] < end
 
 
 @lru_cache(maxsize=1 << 16)
@@ -140,11 +170,17 @@ def _readings(token: str) -> tuple[str, ...]:
     if not all(letters):
         return ()
     *before, last = letters
+    # Words that begin as the token does; sorted, so they lie together. Most tokens of code have none.
+    of = words.get(letters[0][0], [])
+    of = of[bisect_left(of, letters[0]) : bisect_left(of, letters[0] + "\uffff")] if before else of
+    of = [w for w in of if last[0] in w[len(letters[0]) :]] if before else [w for w in of if last.startswith(w)]
+    if not of:
+        return ()
     head = "".join(re.escape(x) + (".+" if len(m) > 1 and not m.strip("*") else "." * len(m)) for x, m in zip(before, parts[1::2]))
     out = []
     for k in range(len(last), 0, -1):
         whole = re.compile(head + re.escape(last[:k])).fullmatch
-        out += [w + last[k:] for w in words.get(letters[0][0], ()) if whole(w)]
+        out += [w + last[k:] for w in of if whole(w)]
         if not before:
             break  # a sign in front hides nothing: the word has to be there as it is
     return tuple(dict.fromkeys([*out, "".join(letters)])) if out else ()
@@ -279,9 +315,9 @@ def _over_slots(stream: str, slots: list[tuple[str, ...]]) -> set[tuple[int, int
     return out
 
 
-def _word_ends(stream: str, gaps: list[int], end: int) -> bool:
+def _word_ends(stream: str, gaps: _Gaps, end: int) -> bool:
     """Whether a word ends here, or with the s of a plural."""
-    return gaps[end] > 0 or stream[end] == "s" and gaps[end + 1] > 0
+    return gaps[end] > 0 or stream[end : end + 1] == "s" and gaps[end + 1] > 0
 
 
 def _spaced(letter: str) -> bool:
@@ -297,11 +333,10 @@ def hits(text: str) -> tuple[list[tuple[int, int, float, str, str, int]], int]:
         every += _over_slots(stream, slots)
     if not every:
         return [], len(stream)
-    gaps = _gaps(raw)
-    sentence = [0, *accumulate(g == 3 for g in gaps)]
+    gaps = _Gaps(raw)
     worded = lambda h: (gaps[h[0]] or not _spaced(stream[h[0]])) and (not _spaced(stream[h[1] - 1]) or _word_ends(stream, gaps, h[1]))
-    every = [h for h in every if worded(h) and sentence[h[1]] == sentence[h[0] + 1]]
-    spared = sorted((h[0], h[1]) for h in every if not h[2] and max(gaps[h[0] + 1 : h[1]], default=0) < 2)
+    every = [h for h in every if worded(h) and not gaps.within(gaps.ends, h[0], h[1])]
+    spared = sorted((h[0], h[1]) for h in every if not h[2] and not gaps.within(gaps.marks, h[0], h[1]))
     starts, reach = [a for a, _ in spared], [*accumulate((b for _, b in spared), max)]
     inside = lambda h: (k := bisect_right(starts, h[0])) and reach[k - 1] >= h[1]  # noqa: E731 - some exception begins before it and ends behind it
     return [h for h in every if h[2] and not inside(h)], len(stream)
