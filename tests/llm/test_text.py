@@ -114,8 +114,10 @@ def test_quotas_in_tokens_are_kept_to_a_block(spark):
         m = mixture.mix(df, targets, total, block_tokens=1024, bucket_docs=100)
         for s in m.shares.where("not capped").collect():
             assert 0 <= s.quota_blocks * 1024 - s.mixture_tokens < 1024
-        shards = {x.source: x.n for x in m.rows.groupBy("source").agg(F.count_distinct("shard").alias("n")).collect()}
-        assert set(shards.values()) == {8}
+        # A document is in the shard where it begins, so a shard is off its even part by no more than the longest one.
+        whole = {x.source: x.mixture_tokens for x in m.shares.collect()}
+        for x in m.rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
+            assert 0 <= x.shard < 8 and abs(x.n - whole[x.source] / 8) <= 50_000 + 2 * 1024
     other = mixture.mix(df, targets, None, seed=7).rows.where("source = 'b'").select("doc_id")
     assert {x[0] for x in other.collect()} != {x[0] for x in mixture.mix(df, targets).rows.where("source = 'b'").select("doc_id").collect()}
 
