@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from vertexloom.graph import Graph
 from vertexloom.operators.message import EdgeIndex, apply_step, combine, row_bytes
 from vertexloom.operators.skew import BROADCAST_BYTES
-from vertexloom.session import discard, stored
+from vertexloom.session import carried, discard, fixed_plans, stored
 
 #: A frontier, or the vertices it may improve, of at most so many (counted) rows is broadcast.
 FRONTIER_ROWS = 1_000_000
-#: A state that may be broadcast is written each so many rounds, and exchanged in partitions of about so many bytes.
+#: A state that may be broadcast is written each so many rounds, and kept in memory between.
 CUT_ROUNDS = 3
-PARTITION_BYTES = 4_000_000
 #: Changes are kept as tables beside the state; so many of them, or so large a share of nv, are merged into it.
 DELTAS = 12
 DELTA_SHARE = 4
@@ -54,12 +53,15 @@ def pull_iterate(g: Graph, state: DataFrame, message: Column, how: str, apply: d
     ``state`` has id and value columns of fixed width; ``message`` is an expression over the source's
     columns (and weight), combined by ``how`` (sum, min, max) per target as ``msg`` (null where no
     in-edge); ``apply`` gives the new columns from the old ones and msg; columns not named stay.
-    The state is written each ``every`` steps and at the end (one step alone stays lazy), and the one before
-    deleted; planning a chain of unwritten steps costs more than writing. Everything compiles through Catalyst.
+    A state beyond what may be broadcast is written each ``every`` steps and at the end (one step alone stays
+    lazy), and the one before deleted; planning a chain of unwritten steps costs more than writing. A smaller one
+    is written each third step. Everything compiles through Catalyst.
     """
     if n < 1:
         raise ValueError("the number of iterations must be positive")
     cols = [c for c in state.columns if c != "id"]
+    if n > 1 and every == 1 and g.nv * row_bytes(len(cols)) <= BROADCAST_BYTES:
+        return _pull_small(g, state, message, how, apply, n, cols)
     index = EdgeIndex(g, len(cols), keep=n > 1)
     held = cols
     if not index.small and n > 1:
@@ -78,6 +80,32 @@ def pull_iterate(g: Graph, state: DataFrame, message: Column, how: str, apply: d
     return state
 
 
+def _pull_small(g: Graph, state: DataFrame, message: Column, how: str, apply: dict[str, Column], n: int, cols: list[str]) -> DataFrame:
+    """The steps over a state that may be broadcast: a step is a broadcast join and one exchange; it is kept in
+    memory, each CUT_ROUNDS-th is written, which runs the steps up to it."""
+    own = fixed_plans(g.spark, g.nv * row_bytes(len(cols)))
+    edges, laid = carried(g.edges, own)
+    edges = edges.persist()
+    state, last = carried(state, own)
+    kept: list[DataFrame] = []
+    for k in range(1, n + 1):
+        sent = edges.join(F.broadcast(state.withColumnRenamed("id", "_id")), F.col("src") == F.col("_id")).select(F.col("dst").alias("id"), message.alias("msg"))
+        state = apply_step(state, sent, how, cols).select("id", *[apply.get(c, F.col(c)).alias(c) for c in cols])
+        if k % CUT_ROUNDS and k < n:
+            state = state.persist()
+            kept.append(state)
+        else:
+            state = stored(state)
+            discard(last)
+            last = state
+            for x in kept:
+                x.unpersist()
+            kept = []
+    edges.unpersist()
+    discard(laid)
+    return g.spark.read.schema(state.schema).parquet(state._stored_at)
+
+
 def push_iterate(
     g: Graph,
     state: DataFrame,
@@ -134,14 +162,11 @@ def _small(g, state, frontier, message, how, best, pick, mode, active, metrics,
     without adaptive planning and with few partitions; a round is kept in memory and counted by one job, each
     CUT_ROUNDS-th is written.
     """
-    own = g.spark.newSession()
-    own.conf.set("spark.sql.adaptive.enabled", "false")
-    wanted = int(own.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.shuffle.partitions", str(max(1, min(wanted, -(-g.nv * row_bytes(1) // PARTITION_BYTES)))))
-    laid = stored(g.edges)
-    edges = own.read.schema(laid.schema).parquet(laid._stored_at).persist()
-    first = stored(state)
-    state, last, kept = own.read.schema(first.schema).parquet(first._stored_at), first, []
+    own = fixed_plans(g.spark, g.nv * row_bytes(1))
+    edges, laid = carried(g.edges, own)
+    edges = edges.persist()
+    state, last = carried(state, own)
+    kept = []
     front = state if frontier is None else state.where(frontier)
     k = 0
     while max_rounds is None or k < max_rounds:

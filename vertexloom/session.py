@@ -86,6 +86,25 @@ def discard(*frames: DataFrame | None) -> None:
             _WRITTEN.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
 
 
+def fixed_plans(spark: SparkSession, size: int) -> SparkSession:
+    """A session of the same application for loops whose plans need no choosing: without adaptive planning, and
+    with exchanges in as many partitions as ``size`` bytes of state are worth."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    wanted = int(own.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, min(wanted, -(-size // PARTITION_BYTES)))))
+    return own
+
+
+def carried(df: DataFrame, session: SparkSession) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` as a written table read in ``session``, and what to discard afterwards (None if it was a table before)."""
+    table = df if hasattr(df, "_stored_at") else stored(df)
+    out = session.read.schema(table.schema).parquet(table._stored_at)
+    return out, None if table is df else table
+
+
+#: Bytes of a partition of a small state.
+PARTITION_BYTES = 4_000_000
 #: Tables written by ``stored`` that are still there, by application.
 _WRITTEN: dict[str, set[str]] = {}
 
